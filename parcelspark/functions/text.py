@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import PREVIEW_CHARS
 
-# Python's str.split()/strip() treat these as whitespace; \s in Java regexes
-# misses the no-break space unless Unicode classes are on.
-_WS = r"(?U)\s+"
+# Fixed value: the characters Python's str.split()/re \s treat as whitespace.
+# Spelled out because Java's and RE2's \s classes each miss some of them; the
+# same class works in both engines.
+WS_CLASS = (r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+_WS = WS_CLASS + "+"
 
 
 def normalise_ws(text: Column) -> Column:
@@ -19,7 +22,7 @@ def normalise_ws(text: Column) -> Column:
 
 def strip_ws(text: Column) -> Column:
     """Strip leading/trailing whitespace of any kind (Python ``str.strip``)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{_WS}|{_WS}$", "")
 
 
 def casefold(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Named query plans and their DuckDB oracles."""
 
-from . import model_queries, profile_queries, scoring_queries, text_queries  # noqa: F401  (registers)
+from . import (model_queries, profile_queries, retrieval_queries,  # noqa: F401  (registers)
+               scoring_queries, text_queries)
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES", "register"]

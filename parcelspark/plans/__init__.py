@@ -1,6 +1,6 @@
 """Named query plans and their DuckDB oracles."""
 
-from . import (model_queries, profile_queries, retrieval_queries,  # noqa: F401  (registers)
+from . import (ml_queries, model_queries, profile_queries, retrieval_queries,  # noqa: F401
                scoring_queries, text_queries)
 from .registry import ORACLE, QUERIES, register
 

@@ -38,7 +38,12 @@ def document_filenames(docs: DataFrame) -> DataFrame:
 
 def pages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 (re-aimed): one row per page, 1-based page numbers, whole texts."""
-    docs = document_filenames(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return pages_of(read_table(spark, sf_dir, "documents"))
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    """Page table of any frame shaped like ``documents`` (batch or stream)."""
+    docs = document_filenames(documents.select("doc_id", "source", "text"))
     return docs.select(
         F.col("filename").alias("source"),
         F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "text"),

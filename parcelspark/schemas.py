@@ -34,6 +34,7 @@ LAND_AREA_COLUMN = "perch"
 SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 SQFT_PER_PERCH = 272.25
+SQFT_PER_PERCH_QUOTE = 272  # "if the user quotes perches, multiply by 272"
 KITCHEN_AREA_RANGE = (35.0, 250.0)
 
 # Document ingest

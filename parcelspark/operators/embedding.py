@@ -2,14 +2,18 @@
 
 The built-in embedder is a hashed term-frequency vector: lower-case ASCII word
 tokens, each hashed by md5 into one of ``buckets`` slots, counts divided by
-the L2 norm. Hashing runs JVM-side inside ``transform``; counting runs as an
-Arrow-batched ``bincount`` in a pandas UDF. It is one narrow stage per row, so
-embedding a corpus never shuffles. Any other embedder with the same shape
+the L2 norm. It runs as an Arrow-batched pandas UDF (regex tokenising, md5
+once per distinct token per batch, ``bincount``): one narrow stage per row, so
+embedding a corpus never shuffles. ``token_buckets`` is the same hashing as a
+built-in expression, for plans that need the tokens themselves. Any other embedder with the same shape
 (``text column -> array<float>`` of unit length) plugs into the same place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from ..schemas import EMBEDDING_MODEL_NAME, HASH_BUCKETS
 
 TOKEN_SPLIT = "[^a-z0-9]+"
+TOKEN_WORD = "[a-z0-9]+"  # the same tokens, matched instead of split on
 
 
 def tokens(text: Column) -> Column:
@@ -32,23 +37,41 @@ def token_buckets(text: Column, buckets: int = HASH_BUCKETS) -> Column:
         lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % buckets).cast("int"))
 
 
-def _unit_counts(buckets: int):
+_WORD = re.compile(TOKEN_WORD)
+
+
+def bucket_counts(text: str | None, buckets: int, cache: dict) -> np.ndarray:
+    """Unit-length bucket counts of one text (per-text helper of the UDF).
+
+    Same tokens and buckets as ``token_buckets``; md5 is computed once per
+    distinct token per batch (``cache``)."""
+    counts = np.zeros(buckets, dtype=np.float64)
+    if text:
+        ids = []
+        for tok in _WORD.findall(text.lower()):
+            b = cache.get(tok)
+            if b is None:
+                b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % buckets
+                cache[tok] = b
+            ids.append(b)
+        if ids:
+            counts = np.bincount(np.asarray(ids, dtype=np.int64), minlength=buckets).astype(np.float64)
+    norm = np.sqrt(np.dot(counts, counts))
+    return (counts / norm if norm > 0 else counts).astype(np.float32)
+
+
+def _embedder(buckets: int):
     @F.pandas_udf("array<float>")
-    def embed(ids: pd.Series) -> pd.Series:
-        out = []
-        for arr in ids:
-            counts = np.bincount(np.asarray(arr if arr is not None else [], dtype=np.int64),
-                                 minlength=buckets).astype(np.float64)
-            norm = np.sqrt(np.dot(counts, counts))
-            out.append((counts / norm if norm > 0 else counts).astype(np.float32))
-        return pd.Series(out)
+    def embed(texts: pd.Series) -> pd.Series:
+        cache: dict = {}
+        return pd.Series([bucket_counts(t if isinstance(t, str) else None, buckets, cache) for t in texts])
     return embed
 
 
 def hashed_embedding(text: Column, buckets: int = HASH_BUCKETS) -> Column:
     """T7 + T8: unit-length hashed term-frequency vector (zero vector for a
-    text without tokens)."""
-    return _unit_counts(buckets)(token_buckets(text, buckets))
+    text without tokens), one Arrow-batched pass per partition."""
+    return _embedder(buckets)(text)
 
 
 def l2_normalise(vec: Column) -> Column:

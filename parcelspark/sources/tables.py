@@ -11,11 +11,27 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows carry whole texts: the per-row work on them (normalising,
+# chunking, embedding) is CPU-bound, so they must occupy every core.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; Parquet, so projections and filters reach the scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that arrived in fewer partitions than the cluster
+    has cores (a file with few row groups). A large input already has far
+    more splits than cores and is returned unchanged, with no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS side, count(*) AS n_row
 FROM split GROUP BY 1
 """)
 def train_test_counts(spark, sf_dir):
+    """M1: rows on each side of the seeded hash split."""
     return split_counts(_split_listings(spark, sf_dir))
 
 

@@ -64,18 +64,18 @@ def markdown_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.md`` under ``root`` as ``(path, source, text)``.
 
-    Whole files (``wholetext`` passed to the method, which would otherwise
-    override it), bad UTF-8 bytes replaced, paths relative to ``root`` in POSIX
-    form. An empty tree gives an empty table, not an error.
+    Whole files via ``binaryFile``, bad UTF-8 bytes replaced, paths relative to
+    ``root`` in POSIX form. An empty tree gives an empty table, not an error.
+    Zero-length files are skipped by Spark's file scan itself: they yield no
+    chunks (as in the reference) but also no row in the per-file report.
     """
     root = root.rstrip("/")
-    df = (spark.read.format("text")
-          .option("wholetext", True)
+    df = (spark.read.format("binaryFile")
           .option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.md")
           .load(root)
-          .select(F.make_valid_utf8(F.col("value").cast("binary")).alias("text"),
-                  F.col("_metadata.file_path").alias("file_path")))
+          .select(F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+                  F.col("path").alias("file_path")))
     rel = F.regexp_replace(F.regexp_replace("file_path", r"^file:", ""), "^.*?" + _escape(root) + "/", "")
     return df.select(rel.alias("path"), F.element_at(F.split(rel, "/"), -1).alias("source"), "text")
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import linear_holdout
 from ..operators.split import seeded_split, split_counts
-from ..sources.tables import listings
+from ..sources.tables import listings_table
 from .registry import register
 from .sql_common import LISTINGS_CTE, SPLIT_CTE, with_ctes
 
 
-def _split_listings(spark, sf_dir):
-    return seeded_split(listings(spark, sf_dir), "listing_id")
+def _split_listings_table(spark, sf_dir):
+    return seeded_split(listings_table(spark, sf_dir), "listing_id")
 
 
 @register("holdout_metrics", with_ctes(LISTINGS_CTE, SPLIT_CTE, """
@@ -30,7 +30,7 @@ FROM scored
 """)
 def holdout_metrics(spark, sf_dir):
     """Flagship: seeded split -> OLS on perch -> MAE/RMSE/R2 on held-out rows."""
-    return linear_holdout(_split_listings(spark, sf_dir), "perch", "price_lkr")
+    return linear_holdout(_split_listings_table(spark, sf_dir), "perch", "price_lkr")
 
 
 @register("train_test_counts", with_ctes(LISTINGS_CTE, SPLIT_CTE) + """
@@ -39,7 +39,7 @@ FROM split GROUP BY 1
 """)
 def train_test_counts(spark, sf_dir):
     """M1: rows on each side of the seeded hash split."""
-    return split_counts(_split_listings(spark, sf_dir))
+    return split_counts(_split_listings_table(spark, sf_dir))
 
 
 @register("listings_view", with_ctes(LISTINGS_CTE) + """
@@ -50,7 +50,7 @@ FROM listings
 """)
 def listings_view(spark, sf_dir):
     """The derived listings table, summarised (its shape is the test contract)."""
-    df = listings(spark, sf_dir)
+    df = listings_table(spark, sf_dir)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("perch").alias("n_with_lines"),

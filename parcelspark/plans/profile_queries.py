@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import profile as P
 from ..schemas import CATEGORICAL_FEATURES, LISTINGS, NUMERIC_FEATURES
-from ..sources.tables import listings
+from ..sources.tables import listings_table
 from .registry import register
 from .sql_common import LISTINGS_CTE, with_ctes
 
@@ -128,58 +128,58 @@ _MODAL_AREA_SQL = with_ctes(LISTINGS_CTE, """counts AS (
 @register("missing_counts", _MISSING_SQL)
 def missing_counts(spark, sf_dir):
     """A1 + A3: missing values per column, with the table shape."""
-    return P.missing_counts(listings(spark, sf_dir))
+    return P.missing_counts(listings_table(spark, sf_dir))
 
 
 @register("column_types")
 def column_types(spark, sf_dir):
     """A2 + F2: column types and which are numeric (booleans are not)."""
-    return P.column_types(listings(spark, sf_dir))
+    return P.column_types(listings_table(spark, sf_dir))
 
 
 @register("describe_numeric", _DESCRIBE_SQL)
 def describe_numeric(spark, sf_dir):
     """A4: count, mean, sample std, min, exact 25/50/75%, max per numeric column."""
-    return P.describe_numeric(listings(spark, sf_dir))
+    return P.describe_numeric(listings_table(spark, sf_dir))
 
 
 @register("describe_categorical", _CATEGORICAL_SQL)
 def describe_categorical(spark, sf_dir):
     """A5: count, unique, top (ties to the smallest) and its frequency per text column."""
-    return P.describe_categorical(listings(spark, sf_dir))
+    return P.describe_categorical(listings_table(spark, sf_dir))
 
 
 @register("price_correlations", _TARGET_CORR_SQL)
 def price_correlations(spark, sf_dir):
     """A6 + W4: correlation of each numeric column with the price, descending."""
-    return P.target_correlations(listings(spark, sf_dir))
+    return P.target_correlations(listings_table(spark, sf_dir))
 
 
 @register("correlation_matrix", _MATRIX_SQL)
 def correlation_matrix(spark, sf_dir):
     """Pairwise-complete correlation matrix in long form, with 2-decimal labels."""
-    return P.correlation_matrix(listings(spark, sf_dir))
+    return P.correlation_matrix(listings_table(spark, sf_dir))
 
 
 @register("price_histogram", _HIST_SQL)
 def price_histogram(spark, sf_dir):
     """30 equal-width price bins, empty bins kept."""
-    return P.histogram(listings(spark, sf_dir), "price_lkr", 30)
+    return P.histogram(listings_table(spark, sf_dir), "price_lkr", 30)
 
 
 @register("price_size_bins", _BINS2_SQL)
 def price_size_bins(spark, sf_dir):
     """20 x 20 binned counts of land size against price (the scatter as a table)."""
-    return P.binned_pairs(listings(spark, sf_dir), "perch", "price_lkr", 20, 20)
+    return P.binned_pairs(listings_table(spark, sf_dir), "perch", "price_lkr", 20, 20)
 
 
 @register("default_values", _DEFAULTS_SQL)
 def default_values(spark, sf_dir):
     """A10 + A11 + A13: medians, modes and the size range used to fill requests."""
-    return P.default_values(listings(spark, sf_dir), NUMERIC_FEATURES, CATEGORICAL_FEATURES)
+    return P.default_values(listings_table(spark, sf_dir), NUMERIC_FEATURES, CATEGORICAL_FEATURES)
 
 
 @register("district_modal_area", _MODAL_AREA_SQL)
 def district_modal_area(spark, sf_dir):
     """The modal sub-area of each district."""
-    return P.grouped_mode(listings(spark, sf_dir).where("area IS NOT NULL"), "district", "area")
+    return P.grouped_mode(listings_table(spark, sf_dir).where("area IS NOT NULL"), "district", "area")

@@ -138,6 +138,9 @@ def search(queries, colls: dict, k: int = TOP_K):
     check_same_space([collection_info(n, HASH_BUCKETS) for n in names])
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                    [colls[n].withColumn("collection", F.lit(n)) for n in names])
+    # Searched once per query block and joined back for texts: write the
+    # embedded chunks once (as an ingest would) instead of recomputing them.
+    union = union.checkpoint()
     per = R.exact_topk(union, _embedded(queries), k, group="collection")
     merged = R.merge_collections(per, {n: i for i, n in enumerate(names)}, k)
     merged = merged.withColumn("raw_distance", F.col("distance"))

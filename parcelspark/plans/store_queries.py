@@ -115,8 +115,8 @@ def stream_score(spark, sf_dir):
     pipeline in a stateless append stream; equals the batch scoring."""
     model = fitted_models(spark, sf_dir)["Linear Regression"]
     split = _split(spark, sf_dir)
-    from ..sources.tables import listings
-    ctx = S.build_context(listings(spark, sf_dir), split.where(~F.col("is_test")), as_of_year=AS_OF_YEAR)
+    from ..sources.tables import listings_table
+    ctx = S.build_context(listings_table(spark, sf_dir), split.where(~F.col("is_test")), as_of_year=AS_OF_YEAR)
     inbox = scratch_path(spark, f"requests-{uuid.uuid4().hex}")
     requests = price_requests(spark, sf_dir, AS_OF_YEAR)
     requests.write.parquet(inbox)

@@ -320,3 +320,17 @@ def test_unknown_category_is_all_zero_block(spark):
     feats_u = M.encoded_long(model, rows.withColumn("is_test", F.lit(True)))
     feats_k = M.encoded_long(model, known)
     assert feats_k.count() == feats_u.count() + 1
+
+
+def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
+    from parcelspark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.exponential(1000.0, 4000), np.full(2000, 42.0), rng.normal(0, 5, 1000)])
+    df = spark.createDataFrame([(float(v), float(v) * 2 if i % 3 else None) for i, v in enumerate(vals)],
+                               "a double, b double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(df, ["a", "b"], probs, bins=8, finish_at=50)   # forces several rounds
+    b = np.array([float(v) * 2 for i, v in enumerate(vals) if i % 3])
+    for p in probs:
+        assert got[("a", p)] == pytest.approx(np.quantile(vals, p), rel=1e-12, abs=1e-9)
+        assert got[("b", p)] == pytest.approx(np.quantile(b, p), rel=1e-12, abs=1e-9)

@@ -12,6 +12,7 @@ from ..operators.embedding import (check_same_space, collection_info, embed_tabl
                                    sparse_weights)
 from ..operators.ingest import markdown_collection, page_collection
 from ..schemas import COLLECTION_ORDER, HASH_BUCKETS, SMOKE_QUESTION, TOP_K
+from ..session import materialize
 from ..sources.documents import markdown_from_documents, pages_from_documents
 from ..sources.tables import read_table
 from .registry import register
@@ -131,7 +132,12 @@ def collections(spark, sf_dir):
 
 
 def search(queries, colls: dict, k: int = TOP_K):
-    """Search the collections in fixed order, merge, label and format hits."""
+    """Search the collections in fixed order, merge, label and format hits.
+
+    Hits depend only on the query text, so each distinct text is searched once
+    (keyed by its SHA-256) and the hits are joined back to every query asking
+    it: repeated questions cost one shuffle, not another pass over the chunks.
+    """
     names = [n for n in COLLECTION_ORDER if n in colls]
     if not names:
         raise FileNotFoundError("no document collections to search")
@@ -140,12 +146,16 @@ def search(queries, colls: dict, k: int = TOP_K):
                    [colls[n].withColumn("collection", F.lit(n)) for n in names])
     # Searched once per query block and joined back for texts: write the
     # embedded chunks once (as an ingest would) instead of recomputing them.
-    union = union.checkpoint()
-    per = R.exact_topk(union, _embedded(queries), k, group="collection")
+    union = materialize(union, "collections")
+    key = F.sha2(F.col("query"), 256)
+    texts = queries.where(F.col("query").isNotNull()).select(key.alias("query_id"), "query").distinct()
+    per = R.exact_topk(union, _embedded(texts), k, group="collection")
     merged = R.merge_collections(per, {n: i for i, n in enumerate(names)}, k)
     merged = merged.withColumn("raw_distance", F.col("distance"))
     details = union.select("collection", "id", "text", "source", "page")
-    hits = merged.join(details, ["collection", "id"])
+    by_text = merged.join(details, ["collection", "id"]).withColumnRenamed("query_id", "text_key")
+    asked = queries.select("query_id", key.alias("text_key"))
+    hits = asked.join(by_text, "text_key").drop("text_key")
     return (hits.withColumn("label", R.hit_label())
                 .withColumn("relevance", R.relevance_text("distance"))
                 .withColumn("block", R.hit_block()))

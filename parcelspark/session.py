@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a local run needs; a cluster session keeps whatever it already has.
 _LOCAL_DEFAULTS = {
@@ -75,3 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: the lineage is cut and the plan runs once (an RDD
+    ``checkpoint()`` runs it twice unless cached). Written through the normal
+    commit protocol, so a lost executor only redoes its own tasks, and the
+    read-back table still gets column pruning and filter pushdown."""
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -89,10 +91,10 @@ _MATERIALIZED: dict = {}
 
 
 def listings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listings, written once per session and input to the shared
-    checkpoint folder (``checkpoint()``), then reused by every query that needs
-    them; the lineage back to the five source tables is cut."""
+    """The listings, written once per session as a table in the shared
+    checkpoint folder, then reused by every query that needs them; the lineage
+    back to the five source tables is cut."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALIZED:
-        _MATERIALIZED[key] = listings(spark, sf_dir).checkpoint()
+        _MATERIALIZED[key] = materialize(listings(spark, sf_dir), "listings")
     return _MATERIALIZED[key]

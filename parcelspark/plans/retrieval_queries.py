@@ -180,14 +180,18 @@ md AS (
 )"""
 
 
-def _merged_sql(housing_filter: str = "TRUE", tail: str = "") -> str:
-    ctes = [DOCFILES_CTE, PAGES_CTE, NORM_PAGES_CTE, META_CTE, _HOUSING_CTE, _MD_CTE,
+def merged_ctes(housing_filter: str = "TRUE", q_source: str = "benchmark", q_id: str = "item_id",
+                q_text: str = "text") -> list[str]:
+    """DuckDB twin of ``search``: both collections, per-collection top 3,
+    merged top 3 and hit labels (CTE ``hits``) for the queries in
+    ``q_source``."""
+    return [DOCFILES_CTE, PAGES_CTE, NORM_PAGES_CTE, META_CTE, _HOUSING_CTE, _MD_CTE,
             f"housing_f AS (SELECT * FROM housing WHERE {housing_filter})",
-            *weights_ctes("q", "benchmark", "item_id", "text"),
+            *weights_ctes("q", q_source, q_id, q_text),
             *weights_ctes("h", "housing_f", "id", "text"),
             *weights_ctes("m", "md", "id", "text"),
-            pairs_cte("hp", "q", "h", "item_id AS id FROM benchmark", "id FROM housing_f"),
-            pairs_cte("mp", "q", "m", "item_id AS id FROM benchmark", "id FROM md"),
+            pairs_cte("hp", "q", "h", f"{q_id} AS id FROM {q_source}", "id FROM housing_f"),
+            pairs_cte("mp", "q", "m", f"{q_id} AS id FROM {q_source}", "id FROM md"),
             """per AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(raw_distance, 6), id) AS crank
@@ -210,7 +214,10 @@ def _merged_sql(housing_filter: str = "TRUE", tail: str = "") -> str:
                       UNION ALL SELECT 'markdown_docs', id, text, source, page FROM md) d
     ON d.collection = m.collection AND d.id = m.id
 )"""]
-    return with_ctes(*ctes) + tail
+
+
+def _merged_sql(housing_filter: str = "TRUE", tail: str = "") -> str:
+    return with_ctes(*merged_ctes(housing_filter)) + tail
 
 
 _RELEVANCE = "format('{:.3f}', 1.0 - round(raw_distance, 6))"

@@ -86,4 +86,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     read-back table still gets column pruning and filter pushdown."""
     path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spread(df.sparkSession.read.parquet(path))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that arrived in fewer partitions than the cluster
+    has cores (a small file with one row group): CPU-bound row work and model
+    fits on it would otherwise run on one core. A large input already has far
+    more splits than cores and is returned unchanged, with no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -26,16 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrived in fewer partitions than the cluster
-    has cores (a file with few row groups). A large input already has far
-    more splits than cores and is returned unchanged, with no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One property listing per order.
 

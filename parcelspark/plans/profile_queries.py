@@ -131,7 +131,26 @@ def missing_counts(spark, sf_dir):
     return P.missing_counts(listings_table(spark, sf_dir))
 
 
-@register("column_types")
+def _duck_type(c: str) -> str:
+    """DuckDB's type name of a column as Spark spells it."""
+    t = f"lower(typeof(any_value({c})))"
+    return (f"CASE {t} WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' "
+            f"WHEN 'smallint' THEN 'smallint' ELSE {t} END")
+
+
+_IS_NUMERIC = ("(s.data_type IN ('bigint', 'int', 'smallint', 'tinyint', 'double', 'float') "
+               "OR s.data_type LIKE 'decimal%')")
+
+_COLUMN_TYPES_SQL = with_ctes(LISTINGS_CTE) + f"""
+SELECT CAST(s.position AS INTEGER) AS position, s.column_name, s.data_type,
+       {_IS_NUMERIC} AS is_numeric, s.n_values
+FROM (SELECT unnest(l) AS s FROM (SELECT [{", ".join(
+    f"{{'position': {i}, 'column_name': '{c}', 'data_type': {_duck_type(c)}, 'n_values': count({c})}}"
+    for i, c in enumerate(LISTINGS.names))}] AS l FROM listings))
+"""
+
+
+@register("column_types", _COLUMN_TYPES_SQL)
 def column_types(spark, sf_dir):
     """A2 + F2: column types and which are numeric (booleans are not)."""
     return P.column_types(listings_table(spark, sf_dir))

@@ -231,6 +231,21 @@ def test_topk_of_union_equals_topk_of_per_collection_topk(spark):
     assert a == b
 
 
+def test_exact_topk_over_many_query_blocks_equals_one_block(spark, monkeypatch):
+    """Queries split into several blocks (each fetched, searched, written and
+    released in turn) give the same hits as one block."""
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    one = {(r.query_id, r.rank, r.id, r.distance) for r in R.exact_topk(emb, q, 3, doc_id="vec_id").collect()}
+    blocks = list(R._query_blocks(q, "query_id", "embedding", block=37))
+    assert len(blocks) > 3 and max(len(b[0]) for b in blocks) <= 74
+    assert sum(len(b[0]) for b in blocks) == q.count()
+    orig = R._query_blocks
+    monkeypatch.setattr(R, "_query_blocks", lambda *a, **kw: orig(*a, **{**kw, "block": 37}))
+    got = {(r.query_id, r.rank, r.id, r.distance) for r in R.exact_topk(emb, q, 3, doc_id="vec_id").collect()}
+    assert got == one
+
+
 # --- store ---------------------------------------------------------------------
 
 

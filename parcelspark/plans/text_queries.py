@@ -138,7 +138,35 @@ def document_report(spark, sf_dir):
     return C.document_report(pages, C.chunk_pages(pages))
 
 
-@register("chunk_sentences")
+# T4 in SQL: sentences end after each ". " (split on it and put it back on
+# every piece but the last); a recursive walk over the sentences carries the
+# current chunk number and its length, starting a new chunk whenever the next
+# sentence would not fit.
+_SENTENCES_SQL = "WITH RECURSIVE " + with_ctes(
+    f"""parts AS (
+  SELECT doc_id, string_split({norm_sql('text')}, '. ') AS p FROM documents
+)""",
+    """sent AS (
+  SELECT doc_id, i, s FROM (
+    SELECT doc_id, i, CASE WHEN i < len(p) THEN p[i] || '. ' ELSE p[i] END AS s
+    FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM parts))
+  WHERE s <> ''
+)""",
+    f"""walk AS (
+  SELECT doc_id, i, 0 AS chunk, length(s) AS cur FROM sent WHERE i = 1
+  UNION ALL
+  SELECT w.doc_id, n.i,
+         CASE WHEN w.cur + length(n.s) <= {C.PDF_CHUNK_SIZE} THEN w.chunk ELSE w.chunk + 1 END,
+         CASE WHEN w.cur + length(n.s) <= {C.PDF_CHUNK_SIZE} THEN w.cur + length(n.s) ELSE length(n.s) END
+  FROM walk w JOIN sent n ON n.doc_id = w.doc_id AND n.i = w.i + 1
+)""").removeprefix("WITH ") + """
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, length(t) AS chars, md5(t) AS text_md5
+FROM (SELECT w.doc_id, w.chunk, string_agg(n.s, '' ORDER BY n.i) AS t
+      FROM walk w JOIN sent n ON n.doc_id = w.doc_id AND n.i = w.i GROUP BY w.doc_id, w.chunk)
+"""
+
+
+@register("chunk_sentences", _SENTENCES_SQL)
 def chunk_sentences(spark, sf_dir):
     """T4 + W3: whole sentences packed up to 1000 characters per chunk."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", normalise_ws(F.col("text")).alias("t"))

@@ -349,3 +349,38 @@ def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
     for p in probs:
         assert got[("a", p)] == pytest.approx(np.quantile(vals, p), rel=1e-12, abs=1e-9)
         assert got[("b", p)] == pytest.approx(np.quantile(b, p), rel=1e-12, abs=1e-9)
+
+
+# --- written intermediates and repeated questions ------------------------------
+
+def test_materialize_writes_under_checkpoint_dir_and_spreads(spark):
+    from parcelspark.session import ensure_checkpoint_dir, materialize
+    src = spark.range(0, 1000).withColumn("x", F.col("id") * 2).coalesce(1)
+    out = materialize(src, "unit")
+    base = ensure_checkpoint_dir(spark).rstrip("/").split(":")[-1]
+    files = out.inputFiles()                                   # reads the written table only
+    assert files and all(base in f for f in files)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 2 * i) for i in range(1000)]
+
+
+def test_search_of_repeated_texts_equals_search_of_each_text(spark):
+    """Hits are computed per distinct query text and joined back: every
+    question asking the same text gets the same hits as that text alone."""
+    from parcelspark.plans.retrieval_queries import collections, search
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text").limit(5)
+    texts = [r.text for r in bench.collect()]
+    rows = [(i, texts[i % len(texts)]) for i in range(3 * len(texts))] + [(99, None)]
+    queries = spark.createDataFrame(rows, "query_id long, query string")
+    colls = collections(spark, SF_SMALL)
+    hits = search(queries, colls).select("query_id", "rank", "collection", "id", "distance").collect()
+    by_q = {}
+    for h in hits:
+        by_q.setdefault(h.query_id, []).append((h.rank, h.collection, h.id, h.distance))
+    assert 99 not in by_q
+    unique = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, query string")
+    alone = {}
+    for h in search(unique, colls).select("query_id", "rank", "collection", "id", "distance").collect():
+        alone.setdefault(h.query_id, []).append((h.rank, h.collection, h.id, h.distance))
+    for j in range(3 * len(texts)):
+        assert sorted(by_q[j]) == sorted(alone[j % len(texts)])

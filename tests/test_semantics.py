@@ -353,14 +353,13 @@ def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
 
 # --- written intermediates and repeated questions ------------------------------
 
-def test_materialize_writes_under_checkpoint_dir_and_spreads(spark):
+def test_materialize_writes_under_checkpoint_dir(spark):
     from parcelspark.session import ensure_checkpoint_dir, materialize
     src = spark.range(0, 1000).withColumn("x", F.col("id") * 2).coalesce(1)
     out = materialize(src, "unit")
     base = ensure_checkpoint_dir(spark).rstrip("/").split(":")[-1]
     files = out.inputFiles()                                   # reads the written table only
     assert files and all(base in f for f in files)
-    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(tuple(r) for r in out.collect()) == [(i, 2 * i) for i in range(1000)]
 
 

@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import documents, signed, stored
+from .util import bit_map, documents, in_bit_map, signed, stored
 from .words import SHINGLE, runs, words_of
 
 WINDOW = 13
-#: Bits of the map of possible shingles (2 MB, whatever the benchmark's size).
-MAP_BITS = 24
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
@@ -52,28 +50,13 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         run, "item_id string, words string, m int, shingles array<long>")
 
 
-def _bit_map(shingles: DataFrame) -> np.ndarray:
-    """Bit map of the hashes in column ``h``: at most 2**MAP_BITS bits reach the driver."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    rows = (shingles.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
-    bits = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
-    return bits
-
-
-def _possible(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h & np.uint64((1 << MAP_BITS) - 1)
-    return (bits[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
-
-
 def _sizes(shingles: DataFrame) -> list[int]:
     return sorted(r["q"] for r in shingles.select("q").distinct().collect())  # at most SHINGLE numbers
 
 
 def _frequencies(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     """``q, h, n``: how often each shingle of ``shingles`` may occur in the documents, counted per task first."""
-    shared = docs.sparkSession.sparkContext.broadcast((_sizes(shingles), _bit_map(shingles)))
+    shared = docs.sparkSession.sparkContext.broadcast((_sizes(shingles), bit_map(shingles)))
 
     def run(batches):
         sizes, bits = shared.value
@@ -81,7 +64,7 @@ def _frequencies(docs: DataFrame, shingles: DataFrame) -> DataFrame:
             for w in words_of(batch.column(1)):
                 for q in sizes:
                     _, h = runs(w.first, w.hashes, q)
-                    h, n = np.unique(h[_possible(bits, h)], return_counts=True)
+                    h, n = np.unique(h[in_bit_map(bits, h)], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(h), q, np.int32)), pa.array(signed(h)), pa.array(n.astype(np.int64))], ["q", "h", "n"])
 
@@ -90,7 +73,7 @@ def _frequencies(docs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
     """One row per document: its word count, and the places of prefix shingles with the words around."""
-    shared = docs.sparkSession.sparkContext.broadcast((_sizes(prefixes), _bit_map(prefixes)))
+    shared = docs.sparkSession.sparkContext.broadcast((_sizes(prefixes), bit_map(prefixes)))
     places = pa.list_(pa.struct([("q", pa.int32()), ("h", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("around", pa.string())]))
 
     def run(batches):
@@ -101,7 +84,7 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
                 n_words[w.lo:w.hi] = np.diff(w.first)
                 for q in sizes:
                     at, h = runs(w.first, w.hashes, q)
-                    ok = np.flatnonzero(_possible(bits, h))
+                    ok = np.flatnonzero(in_bit_map(bits, h))
                     at, h = at[ok], signed(h[ok])
                     for row, i, x in zip(np.searchsorted(w.first, at, side="right") - 1, at, h, strict=True):
                         pos, n = int(i - w.first[row]), int(w.first[row + 1] - w.first[row])

@@ -24,7 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import binaries, components, documents, group_bounds, mix, seeded, signed, stored, whole_groups
+from .util import (
+    binaries,
+    bit_map,
+    components,
+    data_buffers,
+    documents,
+    group_bounds,
+    in_bit_map,
+    mix,
+    seeded,
+    signed,
+    stored,
+    whole_groups,
+)
 from .words import SHINGLE, shingle_sets, words_of
 
 THRESHOLD = 0.8
@@ -88,24 +101,24 @@ def _features(docs: DataFrame, threshold: float, runs: int, shingle: int) -> Dat
     return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, n long, keys array<long>, sketch binary")
 
 
-def _children(big: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """``key, node`` one level further down, for the members of large buckets."""
+def _children(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``key, node`` one level further down, for the members of large buckets. Here a set's
+    tokens are those of its sketch, of which similar sets share the same part as of the whole."""
 
     def run(batches):
         for batch in batches:
             key = batch.column(0).to_numpy().view(np.uint64)
-            for w in words_of(batch.column(2)):
-                first, h = shingle_sets(w, shingle)
-                n = np.diff(first)
-                row = np.repeat(np.arange(len(n)), n)
-                u = mix(h ^ mix(key[w.lo:w.hi])[row])
-                ok = np.flatnonzero(u <= _below(n, threshold)[row])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(seeded(u[ok], 77) ^ key[w.lo:w.hi][row[ok]])), batch.column(1).take(pa.array(w.lo + row[ok]))],
-                    ["key", "node"])
+            offsets, raw = data_buffers(batch.column(2))
+            first, token = offsets // 4, raw.view(np.uint32).astype(np.uint64)
+            n = np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
+            u = mix(mix(token) ^ mix(key)[row])
+            ok = np.flatnonzero(u <= _below(n, threshold)[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(seeded(u[ok], 77) ^ key[row[ok]])), batch.column(1).take(pa.array(row[ok]))], ["key", "node"])
 
-    texts = big.join(docs, F.col("node") == F.col("doc_id")).select("key", "node", "text")
-    return texts.mapInArrow(run, "key long, node long").distinct()
+    return big.join(sets.select("node", "sketch"), "node").select("key", "node", "sketch").mapInArrow(
+        run, "key long, node long").distinct()
 
 
 def _shared(members: DataFrame, name: str) -> DataFrame:
@@ -114,6 +127,13 @@ def _shared(members: DataFrame, name: str) -> DataFrame:
     return stored(members.join(sizes, "key"), name)
 
 
+def _each_once(leaves: DataFrame) -> DataFrame:
+    """Of buckets of the same members (128 bits of their hashes agree) only one: near copies meet again in every run."""
+    same = leaves.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(3))).alias("y"),
+                                     F.max("size").alias("z"))
+    return leaves.join(same.groupBy("x", "y", "z").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _blocks(members: DataFrame, key: str) -> DataFrame:
     """Members dealt to comparisons ``(key, bi, bj)``: one for a group of up to
     ``BLOCK``, else one for each pair of its blocks."""
@@ -211,8 +231,14 @@ def _candidate_links(leaves: DataFrame, sets: DataFrame, threshold: float) -> Da
 def _exact(classes: DataFrame, docs: DataFrame, copies: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """``node, root, links, set_links`` per comparison: exact similarities within the candidate classes."""
 
+    # Only sets of candidates are shuffled: tasks drop other documents by a bit map of
+    # fixed size, and the join drops what slips through.
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(classes.select(F.xxhash64("node").alias("h"))))
+
     def sets(batches):
+        hashed = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(in_bit_map(hashed, batch.column(2).to_numpy().view(np.uint64))))
             for w in words_of(batch.column(1)):
                 first, h = shingle_sets(w, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), binaries(h, first)], ["node", "tokens"])
@@ -257,8 +283,8 @@ def _exact(classes: DataFrame, docs: DataFrame, copies: DataFrame, threshold: fl
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "root", "links", "set_links"])
 
-    texts = docs.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
-    full = texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
+    full = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(
+        sets, "node long, tokens binary").dropDuplicates(["node"])
     dealt = (_blocks(classes, "class").join(copies, "node").join(full, "node")
              .select("class", "bi", "bj", "node", "b", "copies", "tokens"))
     return (dealt.repartition("class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
@@ -289,12 +315,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         big = level.where(F.col("size") > BUCKET).select("key", "node")
         if big.isEmpty():
             break
-        level = _shared(_children(big, picked, threshold, shingle), f"jaccard-level{depth}")
+        level = _shared(_children(big, sets, threshold), f"jaccard-level{depth}")
         leaves.append(level if depth == MAX_DEPTH else level.where(F.col("size") <= BUCKET))
     found = leaves[0]
     for more in leaves[1:]:
         found = found.union(more)
-    classes = components(_candidate_links(found, sets, threshold), "jaccard-candidates")
+    classes = components(_candidate_links(_each_once(found), sets, threshold), "jaccard-candidates")
     sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     classes = classes.join(sizes, "root").select(F.col("root").alias("class"), "node", "size")
     copies = groups.groupBy("node").agg(F.max("copies").alias("copies"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +48,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    _, offsets, data = column.buffers()
+    return data_buffers(column)
+
+
+def data_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets int64 [n+1], bytes) of a string or binary column without nulls."""
     n = len(column)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
     if n == 0 or offsets is None:
         return np.zeros(n + 1, np.int64), np.zeros(0, np.uint8)
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + n + 1].astype(np.int64)
@@ -70,8 +74,23 @@ def pieces_of(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int,
         lo = hi
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+#: Bits of a map of hashes (2 MB, whatever the input's size).
+MAP_BITS = 24
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bit map of the hashes in column ``h``: at most ``2**MAP_BITS`` bits reach the driver, in 2**19 words."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    rows = (hashes.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+    bits = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return bits
+
+
+def in_bit_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = h & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:

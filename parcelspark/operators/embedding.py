@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import EMBEDDING_MODEL_NAME, HASH_BUCKETS
 
-TOKEN_SPLIT = "[^a-z0-9]+"
-TOKEN_WORD = "[a-z0-9]+"  # the same tokens, matched instead of split on
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN_WORD = r"[^\W_]+"  # the same tokens, matched instead of split on
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII word tokens (non-empty)."""
+    """Lower-case tokens of letters and digits of any script (non-empty)."""
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 

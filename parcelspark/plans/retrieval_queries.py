@@ -24,7 +24,7 @@ def weights_ctes(name: str, source: str, id_expr: str, text_expr: str) -> list[s
     """DuckDB twin of the hashed embedder: long-form unit weights ``{name}_w``."""
     return [
         f"""{name}_tok AS (SELECT {id_expr} AS id,
-              unnest(regexp_split_to_array(lower({text_expr}), '[^a-z0-9]+')) AS t FROM {source})""",
+              unnest(regexp_split_to_array(lower({text_expr}), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {source})""",
         f"""{name}_cnt AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {HASH_BUCKETS} AS INTEGER)
               AS bucket, count(*) AS cnt FROM {name}_tok WHERE t <> '' GROUP BY 1, 2)""",
         f"""{name}_w AS (SELECT c.id, c.bucket, CAST(CAST(c.cnt / n.norm AS FLOAT) AS DOUBLE) AS w

@@ -30,7 +30,7 @@ def _batches(spark, sf_dir):
     with revised text (so the French chunks are replaced)."""
     docs = read_table(spark, sf_dir, "documents")
     first = docs.where(F.col("lang").isin("en", "fr"))
-    second = docs.where(F.col("lang") != "en").withColumn("text", F.concat("text", F.lit(REVISION)))
+    second = docs.where(~F.col("lang").eqNullSafe("en")).withColumn("text", F.concat("text", F.lit(REVISION)))
     return (page_collection(pages_of(first), chunker="fixed"),
             page_collection(pages_of(second), chunker="fixed"))
 
@@ -45,7 +45,7 @@ pages AS (
   FROM (SELECT filename, lang, lines, unnest(generate_series(1, len(lines))) AS i
         FROM (SELECT filename, lang, string_split(CASE WHEN rev THEN text || '{REVISION}' ELSE text END,
                                                   chr(10)) AS lines
-              FROM (SELECT *, TRUE AS rev FROM docfiles WHERE lang <> 'en'
+              FROM (SELECT *, TRUE AS rev FROM docfiles WHERE lang IS DISTINCT FROM 'en'
                     UNION ALL SELECT *, FALSE AS rev FROM docfiles WHERE lang = 'en')))
 )""", NORM_PAGES_CTE.replace("SELECT source, page_number, t AS text", "SELECT source, page_number, t AS text")) + """
 SELECT regexp_replace(source, '(.)\\.[^.]*$', '\\1') || '-p' || page_number || '-c' || i AS id,
@@ -103,7 +103,7 @@ def stream_upsert(spark, sf_dir):
 
     ckpt = scratch_path(spark, f"ckpt-{uuid.uuid4().hex}")
     ingest_stream(spark, stream, to_chunks, root, "housing_docs", ckpt).awaitTermination()
-    (docs.where(F.col("lang") != "en").withColumn("text", F.concat("text", F.lit(REVISION)))
+    (docs.where(~F.col("lang").eqNullSafe("en")).withColumn("text", F.concat("text", F.lit(REVISION)))
          .write.parquet(f"{inbox}/batch2"))
     ingest_stream(spark, stream, to_chunks, root, "housing_docs", ckpt).awaitTermination()
     return _final(store.read_collection(spark, root, "housing_docs"))

@@ -383,3 +383,32 @@ def test_search_of_repeated_texts_equals_search_of_each_text(spark):
         alone.setdefault(h.query_id, []).append((h.rank, h.collection, h.id, h.distance))
     for j in range(3 * len(texts)):
         assert sorted(by_q[j]) == sorted(alone[j % len(texts)])
+
+
+# --- long questions, other scripts, failed writes ------------------------------
+
+def test_route_and_location_of_long_and_broken_questions(spark):
+    from parcelspark.operators import questions as q
+    text = "What would a house " + "with a view " * 50 + "\nin Colombo cost, and is now a good time to buy?"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        F.col("t").rlike(q.PRICE_CUE_PATTERN).alias("price"), F.col("t").rlike(q.REPORT_CUE_PATTERN).alias("report"),
+        F.regexp_extract("t", q.LOCATION_PATTERN, 1).alias("place")).first()
+    assert (row.price, row.report, row.place) == (True, True, "Colombo")
+
+
+def test_tokens_of_any_script_agree_between_engines(spark):
+    import re
+
+    from parcelspark.operators.embedding import TOKEN_WORD, tokens
+    texts = ["für straße été", "Привет, мир 12", "a_b-c d́e", "東京 2024年"]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("k")).collect()]
+    assert got == [re.findall(TOKEN_WORD, t.lower()) for t in texts]
+    assert all(got)
+
+
+def test_a_failed_write_does_not_block_a_collection(spark, tmp_path):
+    from parcelspark.sources import store
+    (tmp_path / "c" / "v1").mkdir(parents=True)
+    df = spark.createDataFrame([("a", "x")], "id string, text string")
+    assert store.upsert(spark, str(tmp_path), "c", df, 4) == 1
+    assert [tuple(r) for r in store.read_collection(spark, str(tmp_path), "c").collect()] == [("a", "x")]

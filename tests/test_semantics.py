@@ -412,3 +412,14 @@ def test_a_failed_write_does_not_block_a_collection(spark, tmp_path):
     df = spark.createDataFrame([("a", "x")], "id string, text string")
     assert store.upsert(spark, str(tmp_path), "c", df, 4) == 1
     assert [tuple(r) for r in store.read_collection(spark, str(tmp_path), "c").collect()] == [("a", "x")]
+
+
+def test_profiles_take_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (float("nan"), "b"), (4.0, "b")], "perch double, k string")
+    d = P.describe_numeric(df, ["perch"]).first()
+    want = pd.Series([1.0, 2.0, np.nan, 4.0]).describe()
+    assert (d["count"], d["max"], d["p50"]) == (3, 4.0, 2.0)
+    assert d["mean"] == pytest.approx(want["mean"], abs=1e-4) and d["std"] == pytest.approx(want["std"], abs=1e-4)
+    got = {(r.column_name, r.stat): r.num_value for r in P.default_values(df, ["perch"], ["k"], "perch").collect()}
+    assert got["perch", "max"] == 4.0 and got["perch", "min"] == 1.0
+    assert P.correlation_matrix(df, ["perch"]).first().corr == 1.0

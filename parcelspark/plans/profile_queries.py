@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import profile as P
-from ..schemas import CATEGORICAL_FEATURES, LISTINGS, NUMERIC_FEATURES
+from ..schemas import CATEGORICAL_FEATURES, LISTINGS, NA_STRINGS, NUMERIC_FEATURES, PROFILE_REQUIRED
+from ..session import scratch_path
+from ..sources.listings_csv import TRAINING_REQUIRED, read_listings_csv
 from ..sources.tables import listings_table
 from .registry import register
 from .sql_common import LISTINGS_CTE, with_ctes
@@ -202,3 +206,39 @@ def default_values(spark, sf_dir):
 def district_modal_area(spark, sf_dir):
     """The modal sub-area of each district."""
     return P.grouped_mode(listings_table(spark, sf_dir).where("area IS NOT NULL"), "district", "area")
+
+
+# --- S1, S2, U2: listings from CSV ---------------------------------------------
+
+_GAPS = {"kitchen_area_sqft": 7, "district": 11}   # columns given missing-value strings in every n-th row
+
+
+def _contract_row(f) -> str:
+    kept = f"FILTER (WHERE listing_id % {_GAPS[f.name]} <> 0)" if f.name in _GAPS else ""
+    total = (f"round(sum(CAST({f.name} AS DOUBLE)) {kept}, 2)" if isinstance(f.dataType, T.NumericType)
+             else "CAST(NULL AS DOUBLE)")
+    return (f"SELECT '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
+            f"{f.name in PROFILE_REQUIRED} AS required, count({f.name}) {kept} AS n_values, {total} AS total FROM listings")
+
+
+@register("schema_contract", _W + "\n" + "\nUNION ALL\n".join(_contract_row(f) for f in LISTINGS.fields))
+def schema_contract(spark, sf_dir):
+    """S1 + S2 + U2: the listings written as CSV, with every missing-value string somewhere, and read
+    back through the column contract: type, count and sum of each column."""
+    path = scratch_path(spark, f"listings-csv-{uuid.uuid4().hex}")
+    li = listings_table(spark, sf_dir)
+    na = F.array(*[F.lit(x) for x in NA_STRINGS])
+    for c, n in _GAPS.items():
+        text = F.element_at(na, (F.floor(F.col("listing_id") / n) % len(NA_STRINGS) + 1).cast("int"))
+        li = li.withColumn(c, F.when(F.col("listing_id") % n == 0, text).otherwise(F.col(c).cast("string")))
+    li.write.option("header", True).option("escape", '"').csv(path)
+    back = read_listings_csv(spark, path, [*PROFILE_REQUIRED, *TRAINING_REQUIRED])
+    types = back.schema
+    exprs = [F.struct(F.count(f.name).alias("n"), (
+        F.round(F.sum(F.col(f.name).cast("double")), 2) if f.dataType.simpleString() != "string"
+        else F.lit(None).cast("double")).alias("total")).alias(f.name) for f in types]
+    info = spark.createDataFrame([(f.name, f.dataType.simpleString(), f.name in PROFILE_REQUIRED) for f in types],
+                                 "column_name string, data_type string, required boolean")
+    long = back.agg(*exprs).unpivot([], back.columns, "column_name", "s")
+    return info.join(long, "column_name").select("column_name", "data_type", "required",
+                                                 F.col("s.n").alias("n_values"), F.col("s.total").alias("total"))

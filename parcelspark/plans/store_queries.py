@@ -13,11 +13,12 @@ from ..session import scratch_path
 from ..sources import store
 from ..sources.documents import pages_of
 from ..sources.requests import price_requests
-from ..sources.tables import read_table
+from ..sources.tables import listings_table, read_table
 from ..streaming.ingest import ingest_stream
 from ..streaming.scoring import score_stream, start_parquet_sink
-from .ml_queries import AS_OF_YEAR, _split, fitted_models
-from .registry import register
+from .ml_queries import AS_OF_YEAR, _split
+from .registry import ORACLE, register
+from .scoring_queries import linear_predictor
 from .sql_common import with_ctes
 from .text_queries import DOCFILES_CTE, NORM_PAGES_CTE
 
@@ -109,19 +110,17 @@ def stream_upsert(spark, sf_dir):
     return _final(store.read_collection(spark, root, "housing_docs"))
 
 
-@register("stream_score")
+@register("stream_score", ORACLE["score_requests_linear"])
 def stream_score(spark, sf_dir):
-    """Requests arriving as files are scored by the fitted linear
-    pipeline in a stateless append stream; equals the batch scoring."""
-    model = fitted_models(spark, sf_dir)["Linear Regression"]
-    split = _split(spark, sf_dir)
-    from ..sources.tables import listings_table
-    ctx = S.build_context(listings_table(spark, sf_dir), split.where(~F.col("is_test")), as_of_year=AS_OF_YEAR)
+    """Requests arriving as files are scored by the one-feature linear model in a
+    stateless append stream; equals the batch scoring."""
+    train = _split(spark, sf_dir).where(~F.col("is_test"))
+    ctx = S.build_context(listings_table(spark, sf_dir), train, as_of_year=AS_OF_YEAR)
     inbox = scratch_path(spark, f"requests-{uuid.uuid4().hex}")
     requests = price_requests(spark, sf_dir, AS_OF_YEAR)
     requests.write.parquet(inbox)
     stream = spark.readStream.schema(requests.schema).parquet(inbox)
     out = scratch_path(spark, f"scored-{uuid.uuid4().hex}")
     ckpt = scratch_path(spark, f"ckpt-{uuid.uuid4().hex}")
-    start_parquet_sink(score_stream(stream, ctx, model), out, ckpt).awaitTermination()
+    start_parquet_sink(score_stream(stream, ctx, linear_predictor(train)), out, ckpt).awaitTermination()
     return spark.read.parquet(out).withColumn("price", F.round("price", 2))

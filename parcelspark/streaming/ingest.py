@@ -24,8 +24,12 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, to_chunks: Callable[[D
     chunks = to_chunks(stream)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        if not batch.isEmpty():
-            upsert(batch.sparkSession, root, name, batch, dimension)
+        batch.persist()   # chunked and embedded once for the check and the write
+        try:
+            if not batch.isEmpty():
+                upsert(batch.sparkSession, root, name, batch, dimension)
+        finally:
+            batch.unpersist()
 
     writer = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

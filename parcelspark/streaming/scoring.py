@@ -8,16 +8,18 @@ the model is applied per row. Output is append-only.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..operators.scoring import ScoringContext, score_requests
 
 
-def score_stream(requests: DataFrame, ctx: ScoringContext, model: PipelineModel) -> DataFrame:
+def score_stream(requests: DataFrame, ctx: ScoringContext, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``predict`` adds a ``prediction`` column, as for ``score_requests``."""
     if not requests.isStreaming:
         raise ValueError("expected a streaming DataFrame")
-    return score_requests(requests, ctx, model.transform)
+    return score_requests(requests, ctx, predict)
 
 
 def start_parquet_sink(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True):

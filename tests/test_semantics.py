@@ -231,19 +231,41 @@ def test_topk_of_union_equals_topk_of_per_collection_topk(spark):
     assert a == b
 
 
-def test_exact_topk_over_many_query_blocks_equals_one_block(spark, monkeypatch):
-    """Queries split into several blocks (each fetched, searched, written and
-    released in turn) give the same hits as one block."""
+def test_exact_topk_over_many_blocks_equals_one_block(spark):
+    """Queries and vectors cut into several blocks give the same hits as one block of each."""
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
     one = {(r.query_id, r.rank, r.id, r.distance) for r in R.exact_topk(emb, q, 3, doc_id="vec_id").collect()}
-    blocks = list(R._query_blocks(q, "query_id", "embedding", block=37))
-    assert len(blocks) > 3 and max(len(b[0]) for b in blocks) <= 74
-    assert sum(len(b[0]) for b in blocks) == q.count()
-    orig = R._query_blocks
-    monkeypatch.setattr(R, "_query_blocks", lambda *a, **kw: orig(*a, **{**kw, "block": 37}))
-    got = {(r.query_id, r.rank, r.id, r.distance) for r in R.exact_topk(emb, q, 3, doc_id="vec_id").collect()}
-    assert got == one
+    got = R.exact_topk(emb, q, 3, doc_id="vec_id", query_block=37, vector_block=53).collect()
+    assert {(r.query_id, r.rank, r.id, r.distance) for r in got} == one
+
+
+def test_distance_is_cosine_whatever_the_length(spark):
+    docs = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [3.0, 4.0])], "query_id long, embedding array<double>")
+    got = [(r.id, r.distance) for r in R.exact_topk(docs, q, 3).orderBy("rank").collect()]
+    assert got == [(2, 0.0), (1, 0.4), (3, 1.0)]
+
+
+def test_search_without_rows_and_without_collections(spark):
+    docs = spark.createDataFrame([], "id long, embedding array<double>")
+    q = spark.createDataFrame([(0, "what", [3.0, 4.0]), (1, " ", None)], "query_id long, query string, embedding array<double>")
+    assert R.exact_topk(docs, q, 3).count() == 0
+    assert {r.query_id: r.status for r in R.answers(q, None).collect()} == {0: "no_collections", 1: "blank"}
+
+
+def test_filter_of_a_stored_collection_reads_only_its_folders(spark):
+    from parcelspark.plans.retrieval_queries import collections
+    housing = collections(spark, SF_SMALL)["housing_docs"].where("doc_type = 'market_analysis' AND year >= 2020")
+    plan = housing._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(doc_type" in plan and housing.count() > 0
+
+
+def test_last_of_equal_ids_wins(spark, tmp_path):
+    rows = [("a", f"new{i}", i) for i in range(4)] + [("a", "old", -1)]
+    df = spark.createDataFrame(rows, "id string, text string, at int")
+    store.upsert(spark, str(tmp_path), "c", df, 4, order_by="at")
+    assert [tuple(r) for r in store.read_collection(spark, str(tmp_path), "c").select("id", "text").collect()] == [("a", "new3")]
 
 
 # --- store ---------------------------------------------------------------------
@@ -271,10 +293,10 @@ def test_upsert_idempotent_and_rebuild_drops_stale(spark):
 
 def test_flatten_content_shapes(spark):
     rows = [('"plain text"',), ('[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b "}]',),
-            ("[]",), ("42",)]
+            ("[]",), ("42",), ('["a"]',), ('["a", {"type":"text","text":"kept"}, 3, null]',)]
     df = spark.createDataFrame(rows, "content string")
     got = [r[0] for r in df.select(Q.flatten_content(F.col("content"))).collect()]
-    assert got == ["plain text", "ab", "", "42"]
+    assert got == ["plain text", "ab", "", "42", "", "kept"]
 
 
 def test_routing_and_extraction(spark):
@@ -351,6 +373,14 @@ def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
         assert got[("b", p)] == pytest.approx(np.quantile(b, p), rel=1e-12, abs=1e-9)
 
 
+def test_exact_quantiles_with_infinities(spark):
+    from parcelspark.operators.quantiles import exact_quantiles
+    vals = [float(i) for i in range(40)] + [float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    got = exact_quantiles(df, ["a"], [0.0, 0.5, 1.0], bins=8, finish_at=5)
+    assert got == {("a", 0.0): float("-inf"), ("a", 0.5): 19.5, ("a", 1.0): float("inf")}
+
+
 # --- written intermediates and repeated questions ------------------------------
 
 def test_materialize_writes_under_checkpoint_dir(spark):
@@ -423,3 +453,45 @@ def test_profiles_take_nan_as_missing(spark):
     got = {(r.column_name, r.stat): r.num_value for r in P.default_values(df, ["perch"], ["k"], "perch").collect()}
     assert got["perch", "max"] == 4.0 and got["perch", "min"] == 1.0
     assert P.correlation_matrix(df, ["perch"]).first().corr == 1.0
+
+
+# --- CSV contract, large vocabularies ------------------------------------------
+
+def test_csv_listings_contract(spark, tmp_path):
+    from parcelspark.sources.listings_csv import TRAINING_REQUIRED, read_listings_csv
+    with pytest.raises(FileNotFoundError, match="price_lkr"):
+        read_listings_csv(spark, str(tmp_path / "absent.csv"))
+    path = tmp_path / "li.csv"
+    path.write_text('perch,bedrooms,bathrooms,district,year_built,price_lkr,note\n'
+                    '1.5,3.0,2,"a ""b"", c",2001,10,x\nNA,NaN,n/a,None,,-nan,NULL\n')
+    got = [tuple(r) for r in read_listings_csv(spark, str(path)).collect()]
+    assert got == [(1.5, 3, 2, 'a "b", c', 2001, 10.0, "x"), (None,) * 7]
+    with pytest.raises(ValueError, match="has_garden"):
+        read_listings_csv(spark, str(path), TRAINING_REQUIRED)
+
+
+def test_join_form_of_locations_equals_array_form(spark):
+    texts = ["Colombo", " in colombo District", "galle or kandy", "kandy east", "Atlantis", "", "  KANDY  ", None, "xkandyx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, location string")
+    vocab = spark.createDataFrame([(v,) for v in VOCAB], "district string")
+    want = df.select("i", S.resolve_location(F.col("location"), VOCAB).alias("d")).collect()
+    got = S.resolve_location_join(df, vocab).select("i", F.col("resolved_district").alias("d")).collect()
+    assert sorted(got) == sorted(want) or sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_a_vocabulary_too_large_for_a_plan(spark):
+    train = spark.range(200_000).select(F.concat(F.lit("Town-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("district"))
+    ctx = S.location_context(train, 2026)
+    assert ctx.vocabulary is None
+    req = spark.createDataFrame([(1, 10.0, 1, 1, "in town-123456 north", 1), (2, 10.0, 1, 1, "Town-1", 1)],
+                                "request_id long, area_sqft double, bedrooms int, bathrooms int, location string, age_years int")
+    got = {r.request_id: (r.resolved_district, r.status) for r in
+           S.request_status(req, ctx).select("request_id", "resolved_district", "status").collect()}
+    assert got == {1: ("Town-123456", "ok"), 2: (None, "unknown_location")}
+
+
+def test_alignment_and_leak_check_of_a_bundle(spark):
+    df = spark.createDataFrame([(1, 2, 3.0)], "x int, id int, perch double")
+    assert [tuple(r) for r in M.align_columns(df, ["perch", "bedrooms"], keep=["id"]).collect()] == [(2, 3.0, 0.0)]
+    with pytest.raises(ValueError):
+        M.check_no_leak(["perch"], ["district", "price_lkr"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS, file_stem, normalise_ws
 from ..operators import chunking as C
-from ..schemas import PUBLISHER
+from ..schemas import MIN_CHUNK_CHARS, PDF_CHUNK_SIZE, PUBLISHER
 from ..sources.documents import document_filenames, markdown_from_documents, pages_from_documents
 from ..sources.tables import read_table
 from .registry import register
@@ -131,6 +131,37 @@ def chunk_recursive(spark, sf_dir):
                          "doc_type", "publisher", "year", "quarter", "period", "title")
 
 
+@register("chunk_recursive_check", with_ctes(DOCFILES_CTE, PAGES_CTE, NORM_PAGES_CTE) + """
+SELECT source, page_number AS page, TRUE AS fits, TRUE AS taken_from_page, TRUE AS starts, TRUE AS ends
+FROM norm_pages WHERE kept
+""")
+def chunk_recursive_check(spark, sf_dir):
+    """T1 per kept page: no chunk over the size, each one a stretch of the page, the first at its
+    start and the last at its end."""
+    pages = pages_from_documents(spark, sf_dir)
+    chunks = C.chunk_pages(pages).select("source", "page", "chunk", "chars", F.col("text").alias("piece"))
+    whole = C.normalise_pages(pages).where("kept").select("source", F.col("page_number").alias("page"), "text")
+    last = F.max_by("piece", "chunk")
+    return whole.join(chunks, ["source", "page"], "left").groupBy("source", "page").agg(
+        F.bool_and(F.coalesce(F.col("chars") <= PDF_CHUNK_SIZE, F.lit(False))).alias("fits"),
+        F.bool_and(F.coalesce(F.contains("text", "piece"), F.lit(False))).alias("taken_from_page"),
+        F.startswith(F.first("text"), F.min_by("piece", "chunk")).alias("starts"),
+        F.endswith(F.first("text"), last).alias("ends"))
+
+
+@register("chunk_markdown_check", """
+SELECT concat_ws('/', lang, source, 'doc_' || doc_id || '.md') AS path, TRUE AS long_enough, TRUE AS taken_from_file
+FROM documents
+""")
+def chunk_markdown_check(spark, sf_dir):
+    """T2 + F4 per file, those without a piece included: kept pieces are long enough and stretches of the file."""
+    files = markdown_from_documents(spark, sf_dir)
+    kept = C.split_markdown_files(files).select("path", "kept")
+    return files.join(kept, "path").select(
+        "path", F.forall("kept", lambda p: F.char_length(p) >= MIN_CHUNK_CHARS).alias("long_enough"),
+        F.forall("kept", lambda p: F.contains(F.coalesce("text", F.lit("")), p)).alias("taken_from_file"))
+
+
 @register("document_report")
 def document_report(spark, sf_dir):
     """Pages, skipped pages and recursive chunks per document."""

@@ -10,6 +10,7 @@ its lines a page). ``read_binary_pages`` is the slot for a real decoder over
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +67,8 @@ def read_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Whole files via ``binaryFile``, bad UTF-8 bytes replaced, paths relative to
     ``root`` in POSIX form. An empty tree gives an empty table, not an error.
-    Zero-length files are skipped by Spark's file scan itself: they yield no
-    chunks (as in the reference) but also no row in the per-file report.
+    A zero-length file has an empty text: Spark's scan skips it, so the files that the scan
+    has listed are joined to what it has read.
     """
     root = root.rstrip("/")
     df = (spark.read.format("binaryFile")
@@ -76,8 +77,11 @@ def read_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
           .load(root)
           .select(F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
                   F.col("path").alias("file_path")))
-    rel = F.regexp_replace(F.regexp_replace("file_path", r"^file:", ""), "^.*?" + _escape(root) + "/", "")
-    return df.select(rel.alias("path"), F.element_at(F.split(rel, "/"), -1).alias("source"), "text")
+    rel = F.regexp_replace(F.regexp_replace("file_path", r"^file:/*", "/"), "^.*?" + _escape(root) + "/", "")
+    read = df.select(rel.alias("path"), "text")
+    listed = spark.createDataFrame([(unquote(f),) for f in df.inputFiles()], "file_path string").select(rel.alias("path"))
+    return listed.join(read, "path", "left").select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _escape(s: str) -> str:

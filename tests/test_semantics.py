@@ -171,8 +171,10 @@ def test_markdown_tree_scan(spark):
             fh.write(data)
     df = read_markdown_tree(spark, root)
     got = {r.path: r.text for r in df.collect()}
-    # Zero-length files never reach a reader (Spark's scan skips them).
-    assert set(got) == {"notes.md", "nested/notes.md", "nested__notes.md", "bad.md"}
+    assert set(got) == {"notes.md", "nested/notes.md", "nested__notes.md", "bad.md", "empty.md"}
+    assert got["empty.md"] == ""
+    report = {r.path: r.chunks for r in C.markdown_report(C.split_markdown_files(df.select("path", "text"))).collect()}
+    assert report["empty.md"] == 0
     assert "�" in got["bad.md"]
     ids = {r.id for r in C.chunk_markdown(C.split_markdown_files(df.select("path", "text"))).collect()}
     assert "nested__notes-c0" in ids  # both nested/notes.md and nested__notes.md map here

@@ -35,7 +35,6 @@ SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 SQFT_PER_PERCH = 272.25
 SQFT_PER_PERCH_QUOTE = 272  # "if the user quotes perches, multiply by 272"
-KITCHEN_AREA_RANGE = (35.0, 250.0)
 
 # Document ingest
 PDF_CHUNK_SIZE = 1000
@@ -47,8 +46,6 @@ MD_CHUNK_OVERLAP = 50
 MD_SEPARATORS = ["\n## ", "\n### ", "\n\n", "\n", ". ", " ", ""]
 MIN_CHUNK_CHARS = 30
 MODEL_TOKEN_WINDOW = 256
-EMBED_BATCH_SIZE = 256
-WRITE_BATCH_SIZE = 500
 PREVIEW_CHARS = 160
 
 # Filename conventions -> document metadata (case-insensitive, searched anywhere)
@@ -65,10 +62,6 @@ EMBEDDING_MODEL_NAME = "hashed-tf-256"
 HASH_BUCKETS = 256
 SMOKE_QUESTION = "How did house asking prices in Colombo change?"
 
-# Question routing cue phrases
-PRICE_CUES = ["how much", "what would it cost", "worth", "estimate the price"]
-REPORT_CUES = ["why", "how has", "what do the reports say", "explain"]
-
 # Strings that pandas' CSV reader turns into missing values by default
 NA_STRINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

@@ -253,6 +253,40 @@ def test_passages_cover_long_common_runs(spark, texts, odd_docs, no_docs):
     assert substring_dedup.passages(no_docs).count() == 0
 
 
+def test_every_long_common_run_has_a_row(spark, texts):
+    """Every 50-word run that an earlier document holds lies in a row of its document."""
+    w = {i: words(t) for i, t in texts.items()}
+    spans = {}
+    for r in queries.QUERIES["op5_substring_dedup"](spark, SF_SMALL).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    first, missed = {}, []
+    for i in sorted(w):
+        for j in range(len(w[i]) - 49):
+            if first.setdefault(tuple(w[i][j:j + 50]), i) != i and not any(s <= j and j + 50 <= e for s, e in spans.get(i, [])):
+                missed.append((i, j))
+    assert not missed
+
+
+def _own_words(name, n):
+    return [f"{name}q{k}" for k in range(n)]
+
+
+def _spans_of(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    return {(r.doc_id, r.src_doc_id, r.start_word, r.end_word, r.src_start_word, r.src_end_word)
+            for r in substring_dedup.passages(df).collect()}
+
+
+def test_passage_whose_pieces_stood_in_other_documents(spark):
+    p = _own_words("p", 60)
+    got = _spans_of(spark, {0: p[:30] + _own_words("a", 40), 1: _own_words("b", 40) + p[30:],
+                            2: _own_words("c", 20) + p + _own_words("d", 20), 3: _own_words("e", 30) + p + _own_words("f", 30)})
+    assert got == {(3, 2, 30, 90, 20, 80)}
+    # Pieces that overlap, so that few 50-word runs are new.
+    got = _spans_of(spark, {0: p[:45] + _own_words("a", 40), 1: _own_words("b", 40) + p[12:], 2: p, 3: _own_words("e", 30) + p})
+    assert (3, 2, 30, 90, 0, 60) in got
+
+
 def test_contamination_on_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i} x{i * 7 % 97}" for i in range(10, 20))), (2, "ONE!"), (3, None), (4, "..."),
                                    (5, "one"), (None, "null id text"), (6, "absent words here")], "item_id long, text string")

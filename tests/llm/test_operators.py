@@ -287,6 +287,19 @@ def test_passage_whose_pieces_stood_in_other_documents(spark):
     assert (3, 2, 30, 90, 0, 60) in got
 
 
+def test_passages_quoted_before_or_twice(spark):
+    p = _own_words("p", 60)
+    source = _own_words("a", 20) + p + _own_words("b", 20)
+    quoted = p[:40] + _own_words("c", 100) + p
+    assert (1, 0, 140, 200, 20, 80) in _spans_of(spark, {0: source, 1: quoted})
+    twice = _own_words("c", 30) + p + _own_words("d", 100) + p
+    assert {(1, 0, 30, 90, 20, 80), (1, 0, 190, 250, 20, 80)} <= _spans_of(spark, {0: source, 1: twice})
+    # Also when the later copy is altered, so that no 50-word run of it is in the source.
+    altered = [*p[:20], "x1", *p[21:40], "x2", *p[41:]]
+    got = _spans_of(spark, {0: source, 1: p[:40] + _own_words("c", 100) + altered})
+    assert (1, 0, 140, 200, 20, 80) in got
+
+
 def test_contamination_on_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i} x{i * 7 % 97}" for i in range(10, 20))), (2, "ONE!"), (3, None), (4, "..."),
                                    (5, "one"), (None, "null id text"), (6, "absent words here")], "item_id long, text string")

@@ -343,3 +343,9 @@ def test_counts_and_packing_on_odd_rows(spark, odd_docs, no_docs, library):
     unique = odd_docs.dropDuplicates(["doc_id"])
     _check_packing(packing.pack(unique, VOCABULARY).collect(), {r.doc_id: r.text for r in unique.collect()}, library)
     assert packing.pack(no_docs, VOCABULARY).count() == 0 and token_counts.count_tokens(no_docs, VOCABULARY).count() == 0
+
+
+def test_packing_of_very_long_white_space(spark, library):
+    texts = {0: "a" + " " * 1_500_000 + "b", 1: "\n" * 1_500_000, 2: "some words", 3: "x" + "\t " * 750_000 + "<|endoftext|>"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    _check_packing(packing.pack(df, VOCABULARY).collect(), texts, library)

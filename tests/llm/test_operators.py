@@ -300,6 +300,35 @@ def test_passages_quoted_before_or_twice(spark):
     assert (1, 0, 140, 200, 20, 80) in got
 
 
+def _edited(rng, p, share):
+    """``p`` with about that share of its words replaced, followed by a new one, or left out."""
+    out = []
+    for x in p:
+        kind = rng.integers(3) if rng.random() < share else 3
+        out += {0: ["new"], 1: [x, "new"], 2: [], 3: [x]}[int(kind)]
+    return out
+
+
+def test_recall_of_edited_passages(spark):
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        return [f"v{k}" for k in rng.integers(3000, size=n)]
+    cases = [(60, 0.05), (60, 0.1), (80, 0.15), (80, 0.2), (60, 10), (60, 7)]  # a share, or every so many words
+    rows, pairs = [], {}
+    for n, edit in cases * 20:
+        p, i = some(n), len(rows)
+        q = _edited(rng, p, edit) if edit < 1 else ["new" if k % edit == edit - 1 else x for k, x in enumerate(p)]
+        rows += [(i, " ".join(some(100) + p + some(100))), (i + 1, " ".join(some(100) + q + some(100)))]
+        pairs.setdefault((n, edit), set()).add((i + 1, i))
+    got = {(r.doc_id, r.src_doc_id): r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= set().union(*pairs.values())
+    for (n, edit), mine in pairs.items():
+        have = [got[k] for k in mine if k in got]
+        assert len(have) >= (0.8 if edit in (0.2, 7) else 0.95) * len(mine), (n, edit)
+        assert sum(r.src_end_word - r.src_start_word for r in have) >= 0.75 * n * len(have)
+
+
 def test_contamination_on_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i} x{i * 7 % 97}" for i in range(10, 20))), (2, "ONE!"), (3, None), (4, "..."),
                                    (5, "one"), (None, "null id text"), (6, "absent words here")], "item_id long, text string")

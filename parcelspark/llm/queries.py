@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, secret_scan, substring_dedup, token_counts, vector_search
+from . import (decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs, secret_scan,
+               substring_dedup, token_counts, vector_search)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +91,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, a tenth of the documents made to loop, by recompression."""
+    looped = periodic_runs.with_loops(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(looped))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import (decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs, secret_scan,
-               substring_dedup, token_counts, vector_search)
+from . import (cross_tokenizer, decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs,
+               quality_rules, secret_scan, substring_dedup, token_counts, vector_search)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -98,6 +99,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(looped))
 
 
+@query
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers linked where they overlap, and how common each document's links are in the corpus."""
+    return cross_tokenizer.corpus_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and distance from the languages' histograms of every document."""
+    out = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest",
+                      F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -155,3 +170,49 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+
+_CLASS_SQL = ", ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')) AS {k}"
+                        for k, p in {**quality_rules.CLASSES, "lower": "[a-z]", "space": quality_rules.SPACE}.items())
+ORACLE["op13_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT r, i, ws[i + 1:i + 5] AS v FROM (SELECT r, ws, unnest(range(len(ws) - 4)) AS i FROM w WHERE len(ws) > 4)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(5) t(k) GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+       WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (SELECT w.r, w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines,
+                coalesce(cov.n, 0) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(cov.n, 0) > 20 * len(ws) AS base_failed
+         FROM w LEFT JOIN cov ON cov.r = w.r LEFT JOIN ln ON ln.r = w.r),
+lw AS (SELECT r, lang, list_filter(string_split_regex(lower(t), '{quality_rules.NO_LETTERS}'), lambda x: x <> '') AS ws FROM d),
+cl AS (UNPIVOT (SELECT r, lang, upper, digit, sentence, mark, control, "lower", space,
+                       n - upper - digit - sentence - mark - control - "lower" - space AS wide FROM (SELECT r, lang, {_CLASS_SQL}, length(t) AS n FROM d))
+       ON COLUMNS(* EXCLUDE (r, lang)) INTO NAME token VALUE n),
+e AS (SELECT r, lang, 'c' AS kind, token, n FROM cl WHERE n > 0
+      UNION ALL SELECT r, lang, 'w', token, count(*) FROM (SELECT r, lang, unnest(ws) AS token FROM lw) GROUP BY ALL),
+own AS (SELECT e.* FROM e JOIN base USING (r) WHERE lang IS NOT NULL AND (kind = 'w' OR NOT base_failed)),
+tot AS (SELECT lang, kind, sum(n) AS total FROM own GROUP BY ALL),
+ref AS (SELECT lang, kind, token, sum(n) / any_value(total) AS q
+        FROM own JOIN tot USING (lang, kind) GROUP BY lang, kind, token HAVING kind = 'c' OR sum(n) * {quality_rules.COMMON} >= any_value(total)),
+oth AS (SELECT lang, greatest(1 - coalesce(sum(q) FILTER (kind = 'w'), 0), 0) AS other FROM ref GROUP BY lang),
+m AS (SELECT r, kind, sum(n) AS m FROM e GROUP BY ALL),
+j AS (SELECT e.r, ref.lang, kind, n / m AS p, q FROM e JOIN m USING (r, kind) JOIN ref USING (kind, token)),
+s AS (SELECT r, lang, kind, sum((p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2) AS s, sum(p) AS p, sum(q) AS q FROM j GROUP BY ALL),
+x AS (SELECT b.r, o.lang, other, mc.m AS n_chars, coalesce(mw.m, 0) AS n_lw, sc.s AS cs, sc.p AS cp, sc.q AS cq,
+             coalesce(sw.s, 0) AS ws, coalesce(sw.p, 0) AS wp, coalesce(sw.q, 0) AS wq
+      FROM base b JOIN m mc ON mc.r = b.r AND mc.kind = 'c' LEFT JOIN m mw ON mw.r = b.r AND mw.kind = 'w'
+      JOIN s sc ON sc.r = b.r AND sc.kind = 'c' JOIN oth o ON o.lang = sc.lang LEFT JOIN s sw ON sw.r = b.r AND sw.kind = 'w' AND sw.lang = o.lang),
+y AS (SELECT r, lang, n_chars, n_lw, sqrt(greatest(cs + (1 - cq) / 2 + (1 - cp) / 2, 0)) AS cd,
+             sqrt(greatest(ws + greatest(1 - other - wq, 0) / 2
+               + (CASE WHEN 1 - wp > 0 THEN (1 - wp) * log2(2 * (1 - wp) / (1 - wp + other)) ELSE 0 END
+                  + CASE WHEN other > 0 THEN other * log2(2 * other / (greatest(1 - wp, 0) + other)) ELSE 0 END) / 2, 0)) AS wd FROM x),
+best AS (SELECT r, any_value(n_chars) AS n_chars, any_value(n_lw) AS n_lw,
+                min({{'s': cd + CASE WHEN n_lw > 0 THEN wd ELSE 0 END, 'lang': lang, 'cd': cd, 'wd': CASE WHEN n_lw > 0 THEN wd END}}) AS b FROM y GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (coalesce(n_chars, 0) < {quality_rules.MIN_CHARS} OR coalesce(b.cd, 0) <= {quality_rules.MAX_CHAR_DISTANCE})
+         AND (coalesce(n_lw, 0) < {quality_rules.MIN_LETTER_WORDS} OR coalesce(b.wd, 0) <= {quality_rules.MAX_WORD_DISTANCE}) AS kept,
+       b.lang AS nearest, round(b.cd, 6) AS char_distance, round(b.wd, 6) AS word_distance
+FROM base LEFT JOIN best ON best.r = base.r
+"""

@@ -4,6 +4,8 @@ Two histograms of a document, of the classes of its characters and of its common
 are compared with those of every language by Jensen-Shannon distance; the nearest
 language counts. A histogram of too few characters or words is not judged.
 
+Words stand for themselves as 64-bit hashes, in the repeated windows and in the histograms.
+
 A language's references cover all its documents. A frequent-items sketch per language
 proposes words (with a bound under which none is missed); a second pass over the texts makes
 the histograms inside the rows and keeps the proposed words of each, which then are counted
@@ -29,28 +31,33 @@ COMMON = 500
 #: a common word's share, so every common one is among the first ``PROPOSED`` it returns.
 TRACKED, PROPOSED = 24_000, 1000
 #: Least characters and words of a histogram that is judged, and the greatest distances that pass.
-MIN_CHARS, MIN_LETTER_WORDS = 200, 150
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.4
+MIN_CHARS, MIN_JUDGED_WORDS = 300, 150
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.35
 #: Character classes beside a-z and white space; what none of them holds is ``wide`` (not ASCII).
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "sentence": """[.,;:!?'"()-]""", "mark": r"[#$%&*+/<=>@\[\]\\^_`{|}~]",
            "control": r"[\x00-\x08\x0E-\x1F\x7F]"}
-NO_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+#: Kinds of a histogram's entries; the token of a class is its place in ``CLASS_NAMES``.
+MARK, CHAR, WORD = 0, 1, 2
+CLASS_NAMES = [*CLASSES, "lower", "space", "wide"]
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def letter_words(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and characters beyond ASCII, in order."""
-    return F.array_remove(F.split(F.lower(text), NO_LETTERS), "")
+_BASE_TYPE = "struct<doc_id:bigint," + ",".join(f"{c}:{'boolean' if c == 'base_failed' else 'bigint'}" for c in BASE) + ">"
 
 
-def _entry(kind: str, token: Column, n: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), token.alias("token"), n.cast("long").alias("n"))
+def _entry(kind: int, token: Column, n: Column, base: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), token.cast("long").alias("token"), n.cast("long").alias("n"),
+                    (F.lit(None) if base is None else base).cast(_BASE_TYPE).alias("base"))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` (``doc_id, text`` without nulls, and others) with the base columns, ``n_chars`` and ``classes``:
-    an array of (kind ``c``, class, characters) of the classes that occur."""
-    out = docs.withColumn("_w", F.array_remove(F.split("text", SPACE), ""))
+    """``docs`` (``doc_id, text`` without nulls, and others) with the base columns, ``n_chars``, ``hashes`` of
+    the words and ``classes``: an array of (``CHAR``, class, characters) of the classes that occur."""
+    out = docs.withColumn("_w", words_of(F.col("text")))
     # Hashes of 1, 2, 4 and 5 words from each place, each from two shorter ones.
     out = out.withColumn("_h1", F.transform("_w", lambda x: F.xxhash64(x)))
     for size, left, right in ((2, 1, 1), (4, 2, 2), (5, 4, 1)):
@@ -76,48 +83,49 @@ def features(docs: DataFrame) -> DataFrame:
     some = {k: F.get("_n", F.lit(i)) for i, k in enumerate(CLASSES)}
     some |= {"lower": F.col("word_chars") - F.length("_x"), "space": F.col("n_chars") - F.col("word_chars"),
              "wide": F.length("_x") - F.aggregate("_n", F.lit(0), lambda a, x: a + x)}
-    classes = F.filter(F.array(*(_entry("c", F.lit(k), n) for k, n in some.items())), lambda x: x["n"] > 0)
-    return out.withColumn("classes", classes).withColumn("base_failed", failed).drop(
-        "_w", "_h1", "_h2", "_h4", "_h5", "_s", "_p", "_l", "_x", "_n")
+    classes = F.filter(F.array(*(_entry(CHAR, F.lit(i), some[k]) for i, k in enumerate(CLASS_NAMES))), lambda x: x["n"] > 0)
+    return out.withColumn("classes", classes).withColumn("base_failed", failed).withColumnRenamed("_h1", "hashes").drop(
+        "_w", "_h2", "_h4", "_h5", "_s", "_p", "_l", "_x", "_n")
 
 
 def proposed_words(docs: DataFrame) -> DataFrame:
-    """Words that can be common in some language, by a sketch per language over all its documents."""
-    words = docs.where("lang IS NOT NULL").select("lang", F.explode(letter_words(F.col("text"))).alias("token"))
-    top = words.groupBy("lang").agg(F.expr(f"approx_top_k(token, {PROPOSED}, {TRACKED})").alias("top"))
+    """Hashes of the words that can be common in some language, by a sketch per language over all its documents."""
+    words = docs.where("lang IS NOT NULL").select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    top = words.groupBy("lang").agg(F.expr(f"approx_top_k(xxhash64(word), {PROPOSED}, {TRACKED})").alias("top"))
     return top.select(F.explode("top.item").alias("token")).distinct()
 
 
 def histograms(docs: DataFrame) -> DataFrame:
-    """Entries ``row, lang, base_failed, n_chars, n_letter_words, kind, token, n, base`` of every row's histograms:
-    kind ``c``, character classes; ``w``, the proposed words; and one of kind ``b`` that holds ``base``
-    (``doc_id`` and the base columns)."""
+    """Entries ``row, lang, base_failed, n_chars, n_words, kind, token, n, base`` of every row's histograms:
+    ``CHAR``, character classes; ``WORD``, the proposed words; and one ``MARK``, which holds ``base`` (``doc_id``
+    and the base columns)."""
     proposed = stored(proposed_words(docs), "quality-proposed").withColumnRenamed("token", "_token")
-    sorted_words = (features(docs.withColumn("row", F.monotonically_increasing_id()))
-                    .withColumn("_t", F.sort_array(letter_words(F.col("text")))).drop("text")
-                    .withColumn("_i", F.expr("CASE WHEN size(_t) = 0 THEN array() ELSE filter(sequence(0, size(_t) - 1), "
-                                             "i -> i = 0 OR get(_t, i) <> get(_t, i - 1)) END")))
-    words = F.expr("transform(_i, (i, k) -> struct('w' AS kind, get(_t, i) AS token, cast(coalesce(get(_i, k + 1), size(_t)) - i AS bigint) AS n))")
-    mark = F.array(_entry("b", F.lit(None).cast("string"), F.lit(None)))
-    each = sorted_words.select("row", "lang", "base_failed", "n_chars", F.size("_t").cast("long").alias("n_letter_words"),
-                               F.struct("doc_id", *BASE).alias("base"), F.explode(F.concat(mark, "classes", words)).alias("e"))
-    each = each.select("row", "lang", "base_failed", "n_chars", "n_letter_words", "e.*", F.when(F.col("e.kind") == "b", F.col("base")).alias("base"))
-    known = (F.col("_token") == F.col("token")) & (F.col("kind") == "w")
-    return each.join(proposed, known, "left").where("kind <> 'w' OR _token IS NOT NULL").drop("_token")
+    ordered = (features(docs.withColumn("row", F.monotonically_increasing_id())).drop("text")
+               .withColumn("_t", F.sort_array("hashes")).drop("hashes")
+               .withColumn("_i", F.expr("CASE WHEN size(_t) = 0 THEN array() ELSE filter(sequence(0, size(_t) - 1), "
+                                        "i -> i = 0 OR get(_t, i) <> get(_t, i - 1)) END")))
+    # The base columns ride on the mark alone, so that a word's entry stays small.
+    words = F.expr(f"transform(_i, (i, k) -> struct({WORD} AS kind, get(_t, i) AS token, cast(coalesce(get(_i, k + 1), size(_t)) - i AS bigint) AS n, "
+                   f"cast(NULL AS {_BASE_TYPE}) AS base))")
+    mark = F.array(_entry(MARK, F.lit(None), F.lit(None), F.struct("doc_id", *BASE)))
+    each = ordered.select("row", "lang", "base_failed", "n_chars", "n_words", F.explode(F.concat(mark, "classes", words)).alias("e"))
+    known = (F.col("_token") == F.col("e.token")) & (F.col("e.kind") == WORD)
+    return (each.join(proposed, known, "left").where((F.col("e.kind") != WORD) | F.col("_token").isNotNull())
+            .select("row", "lang", "base_failed", "n_chars", "n_words", "e.*"))
 
 
 def references(table: DataFrame) -> DataFrame:
     """``kind, token, lang, q, other`` from ``histograms``: the share of each character class and common word in
     each language, and the share of the language's words that are not common."""
     own = table.where("lang IS NOT NULL")
-    sums = stored(own.where("kind = 'b'").groupBy("lang").agg(F.sum("n_letter_words").alias("w"),
-                  F.sum(F.when(~F.col("base_failed"), F.col("n_chars"))).alias("c")), "quality-sums")
-    counts = own.where("kind = 'w' OR (kind = 'c' AND NOT base_failed)").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    shares = (counts.join(sums, "lang").withColumn("total", F.when(F.col("kind") == "w", F.col("w")).otherwise(F.col("c")))
-              .where((F.col("kind") == "c") | (F.col("n") * COMMON >= F.col("total")))
+    sums = stored(own.where(F.col("kind") == MARK).groupBy("lang").agg(
+        F.sum("n_words").alias("w"), F.sum(F.when(~F.col("base_failed"), F.col("n_chars"))).alias("c")), "quality-sums")
+    counts = own.where((F.col("kind") == WORD) | ((F.col("kind") == CHAR) & ~F.col("base_failed"))).groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+    shares = (counts.join(sums, "lang").withColumn("total", F.when(F.col("kind") == WORD, F.col("w")).otherwise(F.col("c")))
+              .where((F.col("kind") == CHAR) | (F.col("n") * COMMON >= F.col("total")))
               .select("lang", "kind", "token", (F.col("n") / F.col("total")).alias("q")))
     shares = stored(shares, "quality-shares")
-    common = shares.where("kind = 'w'").groupBy("lang").agg(F.sum("q").alias("common"))
+    common = shares.where(F.col("kind") == WORD).groupBy("lang").agg(F.sum("q").alias("common"))
     return shares.join(common, "lang", "left").select(
         "kind", "token", "lang", "q", F.greatest(1 - F.coalesce("common", F.lit(0.0)), F.lit(0.0)).alias("other"))
 
@@ -132,21 +140,21 @@ def _part(p: Column, q: Column) -> Column:
 def divergences(table: DataFrame, refs: DataFrame) -> DataFrame:
     """``row, nearest, char_distance, word_distance`` from ``histograms``: the distances to the language of
     the smallest sum of both, ties to the first name. Rows without a character have none."""
-    p = F.col("n") / F.when(F.col("kind") == "w", F.col("n_letter_words")).otherwise(F.col("n_chars"))
-    met = table.where("kind <> 'b'").drop("lang").join(refs, ["kind", "token"]).withColumn("p", p)
+    p = F.col("n") / F.when(F.col("kind") == WORD, F.col("n_words")).otherwise(F.col("n_chars"))
+    met = table.where(F.col("kind") != MARK).drop("lang").join(refs, ["kind", "token"]).withColumn("p", p)
 
     def total(kind, value):
         return F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0.0)))
     # A reference token that the document lacks adds half its share, and so does one that the reference lacks;
     # all words that are not common are one token.
     sums = met.groupBy("row", "lang").agg(
-        F.max("n_letter_words").alias("n_letter_words"), F.max("other").alias("other"),
-        *(total(k, v).alias(f"{k}{i}") for k in "cw" for i, v in enumerate((_part(F.col("p"), F.col("q")), F.col("p"), F.col("q")))))
+        F.max("n_words").alias("n_words"), F.max("other").alias("other"),
+        *(total(k, v).alias(f"{name}{i}") for name, k in (("c", CHAR), ("w", WORD)) for i, v in enumerate((_part(F.col("p"), F.col("q")), F.col("p"), F.col("q")))))
     chars = F.col("c0") + (1 - F.col("c1")) / 2 + (1 - F.col("c2")) / 2
     words = (F.col("w0") + F.greatest(1 - F.col("other") - F.col("w2"), F.lit(0.0)) / 2
              + _part(F.greatest(1 - F.col("w1"), F.lit(0.0)), F.col("other")))
     near = sums.select("row", "lang", F.sqrt(F.greatest(chars, F.lit(0.0))).alias("cd"),
-                       F.when(F.col("n_letter_words") > 0, F.sqrt(F.greatest(words, F.lit(0.0)))).alias("wd"))
+                       F.when(F.col("n_words") > 0, F.sqrt(F.greatest(words, F.lit(0.0)))).alias("wd"))
     best = near.groupBy("row").agg(F.min(F.struct((F.col("cd") + F.coalesce("wd", F.lit(0.0))).alias("s"), "lang", "cd", "wd")).alias("b"))
     return best.select("row", F.col("b.lang").alias("nearest"), F.col("b.cd").alias("char_distance"), F.col("b.wd").alias("word_distance"))
 
@@ -156,22 +164,21 @@ def quality(docs: DataFrame, max_char_distance: float = MAX_CHAR_DISTANCE, max_w
     """Base columns, distances and verdict of every row.
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_chars,
-    n_letter_words, nearest, char_distance, word_distance, kept``. A document is kept if it passes the
-    base rules, and each histogram of ``MIN_CHARS`` characters or ``MIN_LETTER_WORDS`` words lies within
-    its greatest distance of the nearest language.
+    nearest, char_distance, word_distance, kept``. A document is kept if it passes the base rules, and
+    each histogram of ``MIN_CHARS`` characters or ``MIN_JUDGED_WORDS`` words lies within its greatest
+    distance of the nearest language.
 
     A null or empty text has zero counts and null distances, and fails the base rules. Documents without
     a language are judged but no part of a reference; without any language all distances are null and the
     base rules decide. Null ids and repeated rows are kept as they are; extra columns are ignored; an empty
-    table gives an empty result. A very long text is worked on whole by its task. Two different windows of
-    one text are taken for equal where their 64-bit hashes are.
+    table gives an empty result. A very long text is worked on whole by its task.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
                        F.col(f"`{lang_col}`").cast("string").alias("lang"))
     table = stored(histograms(docs), "quality-histograms")
     near = divergences(table, stored(references(table), "quality-references"))
-    rows = table.where("kind = 'b'").select("row", "base", "n_chars", "n_letter_words").join(near, "row", "left")
+    rows = table.where(F.col("kind") == MARK).select("row", "base", "n_chars").join(near, "row", "left").select(
+        "base.*", "n_chars", "nearest", "char_distance", "word_distance")
     alike = (((F.col("n_chars") < MIN_CHARS) | (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance))
-             & ((F.col("n_letter_words") < MIN_LETTER_WORDS) | (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)))
-    return rows.select("base.*", "n_chars", "n_letter_words", "nearest", "char_distance", "word_distance",
-                       (~F.col("base.base_failed") & alike).alias("kept"))
+             & ((F.col("n_words") < MIN_JUDGED_WORDS) | (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)))
+    return rows.withColumn("kept", ~F.col("base_failed") & alike)

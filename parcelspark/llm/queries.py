@@ -186,7 +186,7 @@ base AS (SELECT w.r, w.doc_id, len(ws) AS n_words, length(array_to_string(ws, ''
                 length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines,
                 coalesce(cov.n, 0) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(cov.n, 0) > 20 * len(ws) AS base_failed
          FROM w LEFT JOIN cov ON cov.r = w.r LEFT JOIN ln ON ln.r = w.r),
-lw AS (SELECT r, lang, list_filter(string_split_regex(lower(t), '{quality_rules.NO_LETTERS}'), lambda x: x <> '') AS ws FROM d),
+lw AS (SELECT r, lang, ws FROM w JOIN d USING (r)),
 cl AS (UNPIVOT (SELECT r, lang, upper, digit, sentence, mark, control, "lower", space,
                        n - upper - digit - sentence - mark - control - "lower" - space AS wide FROM (SELECT r, lang, {_CLASS_SQL}, length(t) AS n FROM d))
        ON COLUMNS(* EXCLUDE (r, lang)) INTO NAME token VALUE n),
@@ -212,7 +212,7 @@ best AS (SELECT r, any_value(n_chars) AS n_chars, any_value(n_lw) AS n_lw,
                 min({{'s': cd + CASE WHEN n_lw > 0 THEN wd ELSE 0 END, 'lang': lang, 'cd': cd, 'wd': CASE WHEN n_lw > 0 THEN wd END}}) AS b FROM y GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (coalesce(n_chars, 0) < {quality_rules.MIN_CHARS} OR coalesce(b.cd, 0) <= {quality_rules.MAX_CHAR_DISTANCE})
-         AND (coalesce(n_lw, 0) < {quality_rules.MIN_LETTER_WORDS} OR coalesce(b.wd, 0) <= {quality_rules.MAX_WORD_DISTANCE}) AS kept,
+         AND (coalesce(n_lw, 0) < {quality_rules.MIN_JUDGED_WORDS} OR coalesce(b.wd, 0) <= {quality_rules.MAX_WORD_DISTANCE}) AS kept,
        b.lang AS nearest, round(b.cd, 6) AS char_distance, round(b.wd, 6) AS word_distance
 FROM base LEFT JOIN best ON best.r = base.r
 """

@@ -49,7 +49,7 @@ def test_base_columns_of_odd_texts(spark, text):
 def test_proposed_words_hold_every_common_one(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     proposed = {r.token for r in quality_rules.proposed_words(docs).collect()}
-    words = docs.select("lang", F.explode(quality_rules.letter_words(F.col("text"))).alias("token"))
+    words = docs.select("lang", F.explode(quality_rules.words_of(F.col("text"))).alias("word")).select("lang", F.xxhash64("word").alias("token"))
     counts = words.groupBy("lang", "token").count().collect()
     total = Counter()
     for r in counts:

@@ -21,9 +21,12 @@ def _ready(spark: SparkSession) -> None:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language; rejected: no text, no letter, or costlier than plain bytes."""
+    """Keep documents in a learned language; rejected: no text, no letter, or costlier than plain bytes.
+    Where no language could be learned (no labelled text), every document with a letter stays."""
     _ready(spark)
     model = language_id.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.classify(docs, model).where(language_id.accepted()).select(*docs.columns)
 
 

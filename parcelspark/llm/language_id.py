@@ -25,8 +25,8 @@ from .util import pieces_of, text_buffers
 ORDER = 3
 #: Bytes of labelled text that each language is learned from, in expectation.
 TRAIN_BYTES = 1_500_000
-#: Contexts of full order whose codes are tabulated; the most frequent ones stay.
-MAX_CONTEXTS = 60_000
+#: Characters of the pieces of texts that the learning sample takes or leaves.
+PIECE = 2048
 #: Code length, in bits a byte, beyond which a text is in none of the learned languages: plain bytes need 8.
 REJECT_BITS = 8.0
 RESULT = "lang_pred string, score double, bits_per_byte double"
@@ -78,25 +78,29 @@ def grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Da
 
 
 def sample(docs: DataFrame, train_bytes: int, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """Labelled documents that are not held out, thinned by a hash of the id to
-    about ``train_bytes`` per language (all of a language that has fewer)."""
+    """Pieces of ``PIECE`` characters of labelled documents that are not held out, thinned by a hash of
+    the id, the text and the piece's number to about ``train_bytes`` per language (all of a language that
+    has fewer). One long text is so learned from in part, and rows without an id differ by their texts."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                          F.col(text_col).cast("string").alias("text"))
     share = known.groupBy("lang").agg((F.lit(float(train_bytes)) / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("share"))
-    rank = F.pmod(F.xxhash64("id", F.lit("ppm")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(F.broadcast(share), "lang").where(rank < F.col("share")).select("lang", "text")
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    one = known.where("text <> ''").join(share, "lang").withColumn("h", F.xxhash64("id", "text", F.lit("ppm")))
+    rank = F.pmod(F.xxhash64("h", "piece"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return (one.select("lang", "text", "share", "h", F.explode(numbers).alias("piece")).where(rank < F.col("share"))
+            .select("lang", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("text")))
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES, max_contexts: int = MAX_CONTEXTS,
-          id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Learn one tree per language. The driver gets at most a row per four bytes
-    and language of the bounded sample, and builds the table of code lengths."""
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", lang_col: str = "lang",
+          text_col: str = "text") -> Model:
+    """Learn one tree per language, with every context of the sample. The driver gets at most a row per four
+    bytes and language of the bounded sample, and builds the table of code lengths."""
     rows = grams(sample(docs, train_bytes, id_col, lang_col, text_col)).toPandas()
-    return build(rows["lang"].to_numpy(object), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), max_contexts)
+    return build(rows["lang"].to_numpy(object), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
-def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS) -> Model:
+def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
     langs = sorted(set(lang.tolist()))
     parts = [(gram >> s) & 0xFF for s in (24, 16, 8, 0)]
     seen = np.unique(np.concatenate([*parts, [_PAD]])).astype(int)
@@ -111,10 +115,7 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int =
     row_of = {0: np.zeros(1, np.int32)}
     base = 1
     for order in (1, 2, 3):
-        known, place = np.unique(context[order], return_inverse=True)
-        if order == 3 and len(known) > max_contexts:
-            weight = np.bincount(place, weights=n)
-            known = np.sort(known[np.argsort(-weight, kind="stable")[:max_contexts]])
+        known = np.unique(context[order])
         shorter = row_of[order - 1]
         table = np.tile(shorter, a)  # a context that is not known stands for its suffix
         up = table[known]
@@ -132,8 +133,7 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int =
         own = which == li
         for order in range(4):
             here = np.zeros(int(own.sum()), np.int64) if order == 0 else row_of[order][context[order][own]]
-            inside = here >= sizes[order]  # the others have lost their context
-            np.add.at(count, (here[inside], s[own][inside]), n[own][inside])
+            np.add.at(count, (here, s[own]), n[own])
         bits = cost[li].reshape(base, a)
         for order in range(4):
             for lo in range(sizes[order], sizes[order + 1], 4096):

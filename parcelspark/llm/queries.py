@@ -157,17 +157,18 @@ ORACLE["op9_secret_scan"] = f"""
 WITH raw AS ({' UNION ALL '.join(_duck_spans(k, *x) for k, x in enumerate(secret_scan.BASE + secret_scan.ADDED))}),
 s AS (SELECT doc_id, rank, kind, vals[i + 1] AS v, list_sum(gaps[1:i + 1]) + coalesce(list_sum(sizes[1:i]), 0) AS start, sizes[i + 1] AS size
       FROM raw WHERE length(vals[i + 1]) >= least),
-o AS (SELECT v, count(DISTINCT source) AS n_owners FROM s JOIN documents USING (doc_id) GROUP BY v),
-j AS (SELECT s.*, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS shown,
-             CASE WHEN regexp_matches(s.v, '{secret_scan.PLACEHOLDER}') OR n_owners >= {secret_scan.MIN_OWNERS} THEN 'example'
-                  WHEN n_owners <= 1 THEN 'live' ELSE 'shared' END AS standing FROM s JOIN o ON o.v = s.v),
+o AS (SELECT v, count(DISTINCT source) AS n_owners, count(DISTINCT doc_id) AS n_repos FROM s JOIN documents USING (doc_id) GROUP BY v),
+j AS (SELECT s.*, n_repos, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS shown,
+             CASE WHEN regexp_matches(s.v, '{secret_scan.PLACEHOLDER}') OR n_owners >= {secret_scan.MIN_OWNERS} OR n_repos >= {secret_scan.MIN_REPOS} THEN 'example'
+                  WHEN n_owners <= 1 AND n_repos <= {secret_scan.LIVE_REPOS} THEN 'live' ELSE 'shared' END AS standing FROM s JOIN o ON o.v = s.v),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
              count(*) FILTER (kind = 'hex') AS n_hex, string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {len(secret_scan.BASE)}) AS base,
              string_agg(shown, ',' ORDER BY start, rank) AS spans, count(*) FILTER (standing = 'live') AS n_live,
-             count(*) FILTER (standing = 'shared') AS n_shared, count(*) FILTER (standing = 'example') AS n_example FROM j GROUP BY doc_id)
+             count(*) FILTER (standing = 'shared') AS n_shared, count(*) FILTER (standing = 'example') AS n_example,
+             max(n_repos) AS n_repos FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-       coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
+       coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example, coalesce(n_repos, 0) AS n_repos
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 

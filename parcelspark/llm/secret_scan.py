@@ -37,8 +37,10 @@ HINTS = {
     "pem": r"-----BEGIN ",
 }
 PLACEHOLDER = r"(?i)(example|sample|changeme|placeholder|dummy|x{6}|1234567|abcdef)"
-#: A value that so many owners hold is a widely copied example.
-MIN_OWNERS = 3
+#: A value that so many owners, or so many repositories, hold is a widely copied example.
+MIN_OWNERS, MIN_REPOS = 3, 10
+#: A live-looking value has one owner and stands in so many repositories at most.
+LIVE_REPOS = 2
 
 
 def _pattern(kind: str, pattern: str, least: int) -> str:
@@ -73,14 +75,16 @@ def candidates(docs: DataFrame, kinds: list, id_col: str, text_col: str, repo_co
         found.alias("kinds"))
 
 
-def scan(docs: DataFrame, kinds: list | None = None, min_owners: int = MIN_OWNERS, id_col: str = "doc_id",
+def scan(docs: DataFrame, kinds: list | None = None, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS, id_col: str = "doc_id",
          text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """One row per span: ``row, doc_id, kind, kind_rank, start, end, value_hash, n_repos, n_owners, standing``;
     and, for documents without a span, one row whose ``kind`` is null.
 
-    Positions are code points, end exclusive. ``standing`` is ``example`` (at least
-    ``min_owners`` owners, or a placeholder word in it), ``live`` (a single owner)
-    or ``shared``. Null owners and repositories count as none. A null text is empty;
+    ``repo_col`` and ``owner_col`` name a row's repository and its owner; where a table has none, each
+    document stands for a repository and its source for the owner. Positions are code points, end
+    exclusive. ``standing`` is ``example`` (at least ``min_owners`` owners or ``min_repos`` repositories, or a
+    placeholder word in it), ``live`` (one owner, ``LIVE_REPOS`` repositories at most) or ``shared``.
+    Null owners and repositories count as none. A very long text is matched whole by its task. A null text is empty;
     null ids and repeated rows (each with its own ``row``) are kept; an empty table
     gives an empty result; extra columns are ignored.
     """
@@ -99,8 +103,8 @@ def scan(docs: DataFrame, kinds: list | None = None, min_owners: int = MIN_OWNER
         F.count(F.lit(1)).alias("n_owners"))
     repos = spans.where("repo IS NOT NULL").groupBy("value_hash", "repo").count().groupBy("value_hash").agg(
         F.count(F.lit(1)).alias("n_repos"))
-    standing = (F.when(F.col("placeholder") | (F.col("n_owners") >= min_owners), "example")
-                .when(F.col("n_owners") <= 1, "live").otherwise("shared"))
+    standing = (F.when(F.col("placeholder") | (F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos), "example")
+                .when((F.col("n_owners") <= 1) & (F.col("n_repos") <= LIVE_REPOS), "live").otherwise("shared"))
     judged = (spans.join(owners, "value_hash", "left").join(repos, "value_hash", "left")
               .na.fill(0, ["n_owners", "n_repos"]).withColumn("standing", standing)
               .select("row", "kind", F.col("rank").alias("kind_rank"), "start", "end", "value_hash", "n_repos", "n_owners", "standing"))
@@ -108,15 +112,17 @@ def scan(docs: DataFrame, kinds: list | None = None, min_owners: int = MIN_OWNER
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """One row per document of ``scan``: counts by base kind, the digest of the base spans, and all spans."""
+    """One row per document of ``scan``: counts by base kind, the digest of the base spans, all spans, their
+    standings, and the most repositories that hold one of its values."""
     base = [k for k, *_ in BASE]
     shown = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     per = spans.groupBy("row", "doc_id").agg(
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base),
         F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind_rank", "kind", shown.alias("s"))))).alias("all"),
-        *(F.count_if(F.col("standing") == s).alias(f"n_{s}") for s in ("live", "shared", "example")))
+        *(F.count_if(F.col("standing") == s).alias(f"n_{s}") for s in ("live", "shared", "example")),
+        F.coalesce(F.max("n_repos"), F.lit(0)).alias("n_repos"))
     mine = F.filter("all", lambda x: x["kind"].isin(base))
     return per.select(
         "doc_id", *(f"n_{k}" for k in base),
         F.sha2(F.array_join(F.transform(mine, lambda x: x["s"]), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("all", lambda x: x["s"]), ",").alias("spans"), "n_live", "n_shared", "n_example")
+        F.array_join(F.transform("all", lambda x: x["s"]), ",").alias("spans"), "n_live", "n_shared", "n_example", "n_repos")

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -176,6 +177,56 @@ def test_language_accuracy_on_held_out(spark, odd_docs, no_docs):
     assert language_id.classify(no_docs, language_id.train(no_docs)).count() == 0
 
 
+def test_learning_sample_takes_pieces(spark):
+    """One long text without an id is learned in part; a small language whole."""
+    rng = np.random.default_rng(0)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40_000))
+    df = spark.createDataFrame([(None, long, "xx"), (None, "kurz und klein", "yy"), (4, None, "xx")], "doc_id long, text string, lang string")
+    size = {r.lang: r.n for r in language_id.sample(df, 50_000, "doc_id", "lang", "text").groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert 20_000 <= size["xx"] <= 90_000 and size["yy"] == 14
+    assert language_id.train(df, 50_000).langs == ["xx", "yy"]
+
+
+def _plain_ppm(train, text, order=3):
+    """Bits of ``text`` after ``train`` (bytes): counts per context, escape method C with exclusion, pads in front."""
+    counts = {}
+    for part in train:
+        padded = b"\n" * order + part
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                counts.setdefault(padded[i - k:i], Counter())[padded[i]] += 1
+    padded, bits = b"\n" * order + text, 0.0
+    for i in range(order, len(padded)):
+        done = set()
+        for k in range(order, -1, -1):
+            here = {b: n for b, n in counts.get(padded[i - k:i], {}).items() if b not in done}
+            if not here:
+                continue
+            whole = sum(here.values()) + len(here)
+            if padded[i] in here:
+                bits -= np.log2(here[padded[i]] / whole)
+                break
+            bits -= np.log2(len(here) / whole)
+            done |= set(here)
+        else:
+            bits += np.log2(256 - len(done))
+    return bits
+
+
+def test_code_lengths_equal_a_plain_ppm(spark):
+    train = {"aa": ["banana bandana ananas", "bad ban", "é è"], "bb": ["the cat sat on the mat", "that hat"]}
+    rows = [(4 * k, t, lang) for k, (lang, t) in enumerate((g, t) for g, ts in train.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r.doc_id for r in df.where(~language_id.held_out(F.col("doc_id"))).collect()}
+    model = language_id.train(df)
+    texts = ["banana", "the hat", "zebra 42!", "é", "b", "that bandana sat", ""]
+    got = language_id.code_lengths(model, pa.array(texts))
+    for j, lang in enumerate(model.langs):
+        own = [t.encode() for i, t, g in rows if g == lang and i in known]
+        for i, text in enumerate(texts):
+            assert got[i, j] == pytest.approx(_plain_ppm(own, text.encode()), abs=1e-3), (lang, text)
+
+
 def test_ppm_codes_are_complete():
     """After any context the shares of all 256 bytes sum to at most 1 (exactly 1 with exclusion)."""
     text = b"banana bandana ananas"
@@ -364,6 +415,11 @@ def test_secret_standing(spark):
     got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(
         spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert got[0].n_live == 1 and got[1].n_example == 1 and got[0].n_example == 0
+    # One owner: copies in many of its repositories are an example, in a few they are shared.
+    rows = [(i, "token: copied9everywhere9" if i < 20 else "secret = own9value9here", "o") for i in range(24)] + [(30, "token: only9one9holder", "o")]
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert (got[0].n_example, got[0].n_repos, got[20].n_shared, got[20].n_repos, got[30].n_live) == (1, 20, 1, 4, 1)
 
 
 def test_counts_and_packing_on_odd_rows(spark, odd_docs, no_docs, library):

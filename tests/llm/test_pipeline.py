@@ -2,6 +2,7 @@
 
 import duckdb
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -63,6 +64,12 @@ def test_stages_on_odd_and_no_rows(spark, odd_docs, no_docs):
         assert "sequence_id" in docs.columns
 
 
+def test_language_stage_without_labels_keeps_texts(spark, odd_docs):
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF_SMALL).collect()}
+    assert kept == {r.doc_id for r in odd_docs.collect()} - {3, 4, 5}
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
     assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= {k if k == "pipeline" else k.split("_")[0] + "_" for k in entry.queries() if k == "pipeline" or k.startswith("op")}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,25 +153,26 @@ def page_report(pages: DataFrame) -> DataFrame:
         F.count_if(F.col("kept")).alias("kept"))
 
 
-def _explode_chunks(kept: DataFrame, chunks: Column) -> DataFrame:
-    """One row per chunk with inherited metadata, page, chunk, chars, id."""
+def _explode_chunks(kept: DataFrame, chunks: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per chunk with inherited metadata, page, chunk, chars, id; ``carry`` names columns
+    of the page that go along."""
     meta = document_metadata(F.col("source"))
-    exploded = kept.select("source", "page_number", meta.alias("meta"),
+    exploded = kept.select("source", "page_number", *carry, meta.alias("meta"),
                            F.posexplode(chunks).alias("chunk", "text"))
     return exploded.select(
         pdf_chunk_id(F.col("source"), F.col("page_number"), F.col("chunk")).alias("id"),
         "text", "meta.*", "source", F.col("page_number").alias("page"),
         F.col("chunk").cast("int").alias("chunk"),
-        F.char_length("text").alias("chars"))
+        F.char_length("text").alias("chars"), *carry)
 
 
 def chunk_pages(pages: DataFrame, size: int = PDF_CHUNK_SIZE, overlap: int = PDF_CHUNK_OVERLAP,
-                separators: list[str] | None = None) -> DataFrame:
+                separators: list[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """T1 + T6 + X4: normalise, drop short pages, split recursively by
     characters, one row per chunk. The filter runs before the Python stage."""
     kept = normalise_pages(pages).where(F.col("kept"))
     split = recursive_splitter(list(separators or PDF_SEPARATORS), size, overlap, len)
-    return _explode_chunks(kept, split(F.col("text")))
+    return _explode_chunks(kept, split(F.col("text")), carry)
 
 
 def fixed_chunks(text: Column, size: int = PDF_CHUNK_SIZE, overlap: int = PDF_CHUNK_OVERLAP) -> Column:
@@ -184,9 +185,9 @@ def fixed_chunks(text: Column, size: int = PDF_CHUNK_SIZE, overlap: int = PDF_CH
 
 
 def chunk_pages_fixed(pages: DataFrame, size: int = PDF_CHUNK_SIZE,
-                      overlap: int = PDF_CHUNK_OVERLAP) -> DataFrame:
+                      overlap: int = PDF_CHUNK_OVERLAP, carry: Sequence[str] = ()) -> DataFrame:
     kept = normalise_pages(pages).where(F.col("kept"))
-    return _explode_chunks(kept, fixed_chunks(F.col("text"), size, overlap))
+    return _explode_chunks(kept, fixed_chunks(F.col("text"), size, overlap), carry)
 
 
 def pack_sentences(text: Column, size: int = PDF_CHUNK_SIZE) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import sparse_search as S
 from ..operators.chunking import corpus_totals
 from ..operators.embedding import embed_table, hashed_embedding, sparse_weights
 from ..operators.ingest import markdown_collection, page_collection
@@ -77,13 +78,50 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw_dist
 """
 
 
+def sparse_index(spark, sf_dir):
+    """Inverted index of the documents, written once for the present state of the table."""
+    path = scratch_path(spark, f"sparse-index-{input_version(spark, sf_dir, 'documents')}")
+    if path not in _SPARSE:
+        docs = S.sparse_terms(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+        _SPARSE[path] = S.build_index(docs, path)
+    return S.open_index(spark, path, _SPARSE[path].shards, _SPARSE[path].id_type)
+
+
+#: Path of an index written in this process -> its number of shards and type of id.
+_SPARSE: dict = {}
+
+
+def _sparse_hits(spark, sf_dir, pad):
+    queries = S.sparse_terms(read_table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "query_id")
+    hits = S.sparse_topk(sparse_index(spark, sf_dir), queries, TOP_K, pad)
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), "distance")
+
+
 @register("retrieve_sparse", _SPARSE_SQL)
 def retrieve_sparse(spark, sf_dir):
-    """R2 + W1 + J5: exact cosine top-3 of every benchmark item over all
-    documents, hashed term vectors."""
-    docs = embed_table(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    hits = R.exact_topk(docs, _embedded(_benchmark_queries(spark, sf_dir)), TOP_K)
-    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), "distance")
+    """R2 + W1 + J5: exact cosine top-3 of every benchmark item over all documents by inverted
+    lists of hashed terms, filled up with documents at distance 1."""
+    return _sparse_hits(spark, sf_dir, pad=True)
+
+
+@register("retrieve_sparse_hits", with_ctes(
+    *weights_ctes("q", "benchmark", "item_id", "text"), *weights_ctes("d", "documents", "doc_id", "text")) + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id AS doc_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+      FROM (SELECT qw.id AS query_id, dw.id, round(1.0 - sum(qw.w * dw.w), 6) + 0.0 AS distance
+            FROM q_w qw JOIN d_w dw ON dw.bucket = qw.bucket GROUP BY 1, 2)) WHERE rank <= 3
+""")
+def retrieve_sparse_hits(spark, sf_dir):
+    """R2 as an equi-join on buckets gives it: documents that share no bucket never appear."""
+    return _sparse_hits(spark, sf_dir, pad=False)
+
+
+@register("posting_lists", with_ctes(*weights_ctes("d", "documents", "doc_id", "text")) + """
+SELECT bucket, count(*) AS n_postings, round(max(w), 6) AS greatest FROM d_w GROUP BY bucket
+""")
+def posting_lists(spark, sf_dir):
+    """The posting lists of the inverted index: postings and greatest weight per bucket."""
+    return S.posting_lists(sparse_index(spark, sf_dir)).withColumn("greatest", F.round("greatest", 6))
 
 
 # --- R1: dense retrieval over the embeddings table ---------------------------

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..operators import scoring as S
 from ..operators.ingest import page_collection
 from ..schemas import HASH_BUCKETS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import store
 from ..sources.documents import pages_of
 from ..sources.requests import price_requests
 from ..sources.tables import listings_table, read_table
-from ..streaming.ingest import ingest_stream
+from ..streaming.ingest import ARRIVAL, ingest_stream, with_arrival
 from ..streaming.scoring import score_stream, start_parquet_sink
 from .ml_queries import AS_OF_YEAR, _split
 from .registry import ORACLE, register
@@ -90,26 +90,61 @@ def rebuild_chunks(spark, sf_dir):
 
 @register("stream_upsert", _CHUNKS_SQL)
 def stream_upsert(spark, sf_dir):
-    """The same two batches arriving as files in a watched directory,
-    chunked and embedded as a stream and upserted per micro-batch."""
+    """The same two batches arriving as files in a watched directory, chunked and embedded as
+    a stream and upserted per micro-batch; the second file also holds what it replaces, in front."""
     root = _store_root(spark)
     inbox = scratch_path(spark, f"inbox-{uuid.uuid4().hex}")
     docs = read_table(spark, sf_dir, "documents")
     schema = docs.schema
     docs.where(F.col("lang").isin("en", "fr")).write.parquet(f"{inbox}/batch1")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{inbox}/*")
+    stream = with_arrival(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{inbox}/*"))
 
     def to_chunks(df):
-        return page_collection(pages_of(df), chunker="fixed")
+        return page_collection(pages_of(df, [ARRIVAL]), chunker="fixed", carry=[ARRIVAL])
+
+    def ingest():
+        ingest_stream(spark, stream, to_chunks, root, "housing_docs", ckpt, order_by=ARRIVAL).awaitTermination()
 
     ckpt = scratch_path(spark, f"ckpt-{uuid.uuid4().hex}")
-    ingest_stream(spark, stream, to_chunks, root, "housing_docs", ckpt).awaitTermination()
-    (docs.where(~F.col("lang").eqNullSafe("en")).withColumn("text", F.concat("text", F.lit(REVISION)))
-         .write.parquet(f"{inbox}/batch2"))
-    ingest_stream(spark, stream, to_chunks, root, "housing_docs", ckpt).awaitTermination()
+    ingest()
+    second = docs.where(~F.col("lang").eqNullSafe("en"))
+    both = second.withColumn("rev", F.lit(0)).union(second.withColumn("text", F.concat("text", F.lit(REVISION))).withColumn("rev", F.lit(1)))
+    both.repartition("doc_id").sortWithinPartitions("doc_id", "rev").drop("rev").write.parquet(f"{inbox}/batch2")
+    ingest()
     return _final(store.read_collection(spark, root, "housing_docs"))
 
 
+@register("upsert_layers", """
+SELECT 'one id' AS step, 1 AS n_buckets_touched, 0 AS n_files_rewritten, TRUE AS same_rows
+UNION ALL SELECT 'same again', 1, 0, TRUE
+UNION ALL SELECT 'compacted', 1, 0, TRUE
+""")
+def upsert_layers(spark, sf_dir):
+    """Upserts of one chunk into the stored pages: only its bucket gets a layer, no file of
+    another bucket is written anew, also when the bucket is compacted, and all other rows stay."""
+    root, name = _store_root(spark), "housing_docs"
+    first, _ = _batches(spark, sf_dir)
+    store.upsert(spark, root, name, first, HASH_BUCKETS)
+    one = first.orderBy("id").limit(1).withColumn("text", F.concat("text", F.lit(REVISION)))
+    one = materialize(one, "one-chunk")
+    others = store.read_collection(spark, root, name).join(one.select("id"), "id", "left_anti").select("id", "text", "chars", "source")
+    want = materialize(others, "other-chunks").agg(F.sum(F.hash("*").cast("long")), F.count(F.lit(1))).first()
+
+    def layers():
+        return {r["bucket"]: tuple(r["layers"]) for r in store.bucket_layers(spark, root, name).collect()}
+    rows, before = [], layers()
+    for step, times in (("one id", 1), ("same again", 1), ("compacted", store.MAX_LAYERS)):
+        for _ in range(times):
+            store.upsert(spark, root, name, one, HASH_BUCKETS)
+        after = layers()
+        touched = {b for b in after if after[b] != before[b]}
+        now = store.read_collection(spark, root, name).join(one.select("id"), "id", "left_anti").select("id", "text", "chars", "source")
+        got = now.agg(F.sum(F.hash("*").cast("long")), F.count(F.lit(1))).first()
+        rows.append((step, len(touched), sum(before[b][0] != after[b][0] for b in after if b not in touched), got == want))
+        before = after
+    return spark.createDataFrame(rows, "step string, n_buckets_touched int, n_files_rewritten int, same_rows boolean")
+
+
 @register("stream_score", ORACLE["score_requests_linear"])
 def stream_score(spark, sf_dir):
     """Requests arriving as files are scored by the one-feature linear model in a

@@ -9,7 +9,7 @@ its lines a page). ``read_binary_pages`` is the slot for a real decoder over
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
 import pandas as pd
@@ -42,13 +42,14 @@ def pages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(read_table(spark, sf_dir, "documents"))
 
 
-def pages_of(documents: DataFrame) -> DataFrame:
-    """Page table of any frame shaped like ``documents`` (batch or stream)."""
-    docs = document_filenames(documents.select("doc_id", "source", "text"))
+def pages_of(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Page table of any frame shaped like ``documents`` (batch or stream); ``carry`` names further
+    columns that go along."""
+    docs = document_filenames(documents.select("doc_id", "source", "text", *carry))
     return docs.select(
-        F.col("filename").alias("source"),
+        F.col("filename").alias("source"), *carry,
         F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "text"),
-    ).select("source", (F.col("pos") + 1).cast("int").alias("page_number"), "text")
+    ).select("source", (F.col("pos") + 1).cast("int").alias("page_number"), "text", *carry)
 
 
 def markdown_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

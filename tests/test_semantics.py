@@ -343,7 +343,7 @@ def _planted(spark, n=4000):
 
 def test_planted_signal_linear_r2_and_leak_guard(spark):
     split = seeded_split(_planted(spark), "listing_id")
-    models = M.fit_models(split, num_trees=5, max_depth=5)
+    models = M.fit_models(split, num_trees=5)
     scores = {r.model: r for r in M.compare_models(split, models).collect()}
     assert scores["Linear Regression"].r2 > 0.95
     assert M.best_model(M.compare_models(split, models)).first().model == "Linear Regression"
@@ -353,7 +353,7 @@ def test_planted_signal_linear_r2_and_leak_guard(spark):
 
 def test_unknown_category_is_all_zero_block(spark):
     split = seeded_split(_planted(spark, 500), "listing_id")
-    model = M.fit_models(split, num_trees=2, max_depth=2)["Linear Regression"]
+    model = M.fit_models(split, num_trees=2)["Linear Regression"]
     rows = M.training_rows(split).limit(1).withColumn("district", F.lit("Atlantis"))
     known = M.training_rows(split).limit(1)
     feats_u = M.encoded_long(model, rows.withColumn("is_test", F.lit(True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.metrics import linear_holdout
-from ..operators.split import seeded_split, split_counts
+from ..operators.split import exact_split, seeded_split, split_counts
 from ..sources.tables import listings_table
 from .registry import register
 from .sql_common import LISTINGS_CTE, SPLIT_CTE, with_ctes
@@ -42,6 +42,20 @@ def train_test_counts(spark, sf_dir):
     return split_counts(_split_listings_table(spark, sf_dir))
 
 
+@register("exact_split", with_ctes(LISTINGS_CTE) + """
+SELECT CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS side, count(*) AS n_rows,
+       CAST(sum(listing_id) AS BIGINT) AS id_sum, max(listing_id) AS last_id
+FROM (SELECT listing_id, count(*) OVER () AS n,
+             row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || CAST(listing_id AS VARCHAR)), 1, 8))::BIGINT, listing_id) AS rn
+      FROM listings) GROUP BY 1
+""")
+def exact_split_rows(spark, sf_dir):
+    """M1: the split of exact size, ceil(0.2 n) test rows by (hash, key)."""
+    side = F.when(F.col("is_test"), "test").otherwise("train").alias("side")
+    return exact_split(listings_table(spark, sf_dir), "listing_id").groupBy(side).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("listing_id").cast("long").alias("id_sum"), F.max("listing_id").alias("last_id"))
+
+
 @register("listings_view", with_ctes(LISTINGS_CTE) + """
 SELECT count(*) AS n_rows, count(perch) AS n_with_lines,
        count(DISTINCT district) AS n_districts, count(DISTINCT area) AS n_areas,

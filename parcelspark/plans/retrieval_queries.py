@@ -147,17 +147,30 @@ def retrieve_dense(spark, sf_dir):
 
 @register("retrieve_ann_recall")
 def retrieve_ann_recall(spark, sf_dir):
-    """K-means cell search (20 cells, 1/2/4 probed) against exact search;
-    recall@3 per probe count."""
+    """recall@3 against exact search, and the share of full vectors read, of k-means cells (1, 2 and 4 of
+    20 probed) and of codes with bounds (0 probed: every code is read, and of the vectors what is left)."""
     emb = read_table(spark, sf_dir, "embeddings")
     queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
     exact = materialize(R.exact_topk(emb, queries, TOP_K, doc_id="vec_id"), "exact-hits")
     index = R.build_cells(emb, n_cells=20, doc_id="vec_id")
+    pairs = sum(index.sizes.values()) * queries.count()
     out = []
     for n_probe in (1, 2, 4):
         approx = R.ivf_topk(index, queries, n_probe=n_probe)
-        out.append(R.recall_at_k(approx, exact).withColumn("n_probe", F.lit(n_probe)))
-    return reduce(lambda a, b: a.unionByName(b), out).select("n_probe", "recall", "n_queries")
+        out.append(R.recall_at_k(approx, exact).withColumn("n_probe", F.lit(n_probe)).withColumn("share_read", F.lit(n_probe / len(index.sizes))))
+    read = R.coded_candidates(index, queries).count() / pairs
+    out.append(R.recall_at_k(R.coded_topk(index, queries), exact).withColumn("n_probe", F.lit(0)).withColumn("share_read", F.lit(read)))
+    return reduce(lambda a, b: a.unionByName(b), out).select("n_probe", "recall", F.round("share_read", 6).alias("share_read"), "n_queries")
+
+
+@register("retrieve_coded", ORACLE["retrieve_dense"])
+def retrieve_coded(spark, sf_dir):
+    """R3 without loss: codes of a byte a number with error bounds pick what is scored in full; the hits
+    are those of the exact search."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    index = R.build_cells(emb, n_cells=20, doc_id="vec_id")
+    hits = R.coded_topk(index, emb.select(F.col("vec_id").alias("query_id"), "embedding"))
+    return hits.select("query_id", "rank", "id", "distance")
 
 
 @register("retrieve_all_cells", ORACLE["retrieve_dense"])

@@ -114,35 +114,25 @@ def stream_upsert(spark, sf_dir):
     return _final(store.read_collection(spark, root, "housing_docs"))
 
 
-@register("upsert_layers", """
-SELECT 'one id' AS step, 1 AS n_buckets_touched, 0 AS n_files_rewritten, TRUE AS same_rows
-UNION ALL SELECT 'same again', 1, 0, TRUE
-UNION ALL SELECT 'compacted', 1, 0, TRUE
-""")
-def upsert_layers(spark, sf_dir):
-    """Upserts of one chunk into the stored pages: only its bucket gets a layer, no file of
-    another bucket is written anew, also when the bucket is compacted, and all other rows stay."""
+_ID = "regexp_replace(source, '(.)\\.[^.]*$', '\\1') || '-p' || page_number || '-c' || i"
+_SMALL_SQL = (_CHUNKS_SQL.replace("SELECT *, TRUE AS rev FROM docfiles WHERE lang IS DISTINCT FROM 'en'\n                    UNION ALL ", "")
+              .replace("FROM docfiles WHERE lang = 'en'", "FROM docfiles WHERE lang IN ('en', 'fr')")
+              .replace("md5(substring(text, 1 + i * 850, 1000))",
+                       f"md5(substring(text, 1 + i * 850, 1000) || CASE WHEN {_ID} = min({_ID}) OVER () THEN '{REVISION}' ELSE '' END)"))
+
+
+@register("upsert_small_batches", _SMALL_SQL)
+def upsert_small_batches(spark, sf_dir):
+    """One chunk upserted again and again into the stored pages, until its bucket has been compacted:
+    layers merge on read, and every other row stays."""
     root, name = _store_root(spark), "housing_docs"
     first, _ = _batches(spark, sf_dir)
     store.upsert(spark, root, name, first, HASH_BUCKETS)
-    one = first.orderBy("id").limit(1).withColumn("text", F.concat("text", F.lit(REVISION)))
-    one = materialize(one, "one-chunk")
-    others = store.read_collection(spark, root, name).join(one.select("id"), "id", "left_anti").select("id", "text", "chars", "source")
-    want = materialize(others, "other-chunks").agg(F.sum(F.hash("*").cast("long")), F.count(F.lit(1))).first()
-
-    def layers():
-        return {r["bucket"]: tuple(r["layers"]) for r in store.bucket_layers(spark, root, name).collect()}
-    rows, before = [], layers()
-    for step, times in (("one id", 1), ("same again", 1), ("compacted", store.MAX_LAYERS)):
-        for _ in range(times):
-            store.upsert(spark, root, name, one, HASH_BUCKETS)
-        after = layers()
-        touched = {b for b in after if after[b] != before[b]}
-        now = store.read_collection(spark, root, name).join(one.select("id"), "id", "left_anti").select("id", "text", "chars", "source")
-        got = now.agg(F.sum(F.hash("*").cast("long")), F.count(F.lit(1))).first()
-        rows.append((step, len(touched), sum(before[b][0] != after[b][0] for b in after if b not in touched), got == want))
-        before = after
-    return spark.createDataFrame(rows, "step string, n_buckets_touched int, n_files_rewritten int, same_rows boolean")
+    one = materialize(store.read_collection(spark, root, name).orderBy("id").limit(1), "one-chunk")
+    for n in range(store.MAX_LAYERS + 1):
+        text = F.concat("text", F.lit(REVISION if n == store.MAX_LAYERS else f" [draft {n}]"))
+        store.upsert(spark, root, name, one.withColumn("text", text), HASH_BUCKETS)
+    return _final(store.read_collection(spark, root, name))
 
 
 @register("stream_score", ORACLE["score_requests_linear"])

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import pieces_of, text_buffers
+from .util import pieces_of, stored, text_buffers
 
 ORDER = 3
 #: Bytes of labelled text that each language is learned from, in expectation.
@@ -85,6 +85,7 @@ def sample(docs: DataFrame, train_bytes: int, id_col: str, lang_col: str, text_c
     known = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                          F.col(text_col).cast("string").alias("text"))
     share = known.groupBy("lang").agg((F.lit(float(train_bytes)) / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("share"))
+    share = stored(share, "language-shares")  # a row per language: written, so that its size is known and the texts stay where they are
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
     one = known.where("text <> ''").join(share, "lang").withColumn("h", F.xxhash64("id", "text", F.lit("ppm")))
     rank = F.pmod(F.xxhash64("h", "piece"), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -4,12 +4,14 @@ Texts are reduced to their words (see ``words``), joined by single spaces. Exact
 phrases are found there directly. A notice may differ in ``errors`` characters
 (insertions, deletions, substitutions): it is cut into ``errors + 1`` parts, of
 which any such place keeps at least one unchanged (pigeonhole). One Aho-Corasick
-pass finds those parts; around each, ``regex`` matches the notice with bounded errors.
+pass finds those parts; around each, in a window of its own, ``regex`` matches the notice with
+bounded errors from a word's begin to a word's end. What a window gave is remembered, so that a
+text of one seed over and over costs a search per kind of window.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, insort
 
 import ahocorasick
 import pyarrow as pa
@@ -47,6 +49,8 @@ NOTICES = [
     ("all rights reserved", "proprietary"),
 ]
 
+#: Windows that a task remembers at most.
+CACHE = 100_000
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
           "labels string, score double, spans array<struct<label:string,start:long,end:long,errors:int>>")
 _SPACES = bytes(b or 0x20 for b in _LOWER.tolist())
@@ -77,46 +81,59 @@ class Scanner:
         if parts:
             self.seeds.make_automaton()
         self.any = bool(parts)
+        self.known: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
 
     def base(self, norm: bytes) -> list[tuple[int, str]]:
         """(word index, label) of every place of a phrase."""
         found, padded = [], b" " + norm + b" "
         for phrase, label in self.phrases:
-            at = padded.find(phrase)
+            at, last, word = padded.find(phrase), 0, -1
             while at >= 0:
-                found.append((padded.count(b" ", 1, at + 1) if at else 0, label))
+                word += padded.count(b" ", last, at + 1)  # a place's number is that of the blank before it
+                last = at + 1
+                found.append((word, label))
                 at = padded.find(phrase, at + 1)
         return found
 
-    def windows(self, text: str) -> list[tuple[int, int, int]]:
-        """(notice, start, stop) around the seeds, overlapping ones of a notice merged."""
-        spans: dict[int, list[list[int]]] = {}
-        for end, (size, uses) in self.seeds.iter(text):
-            for k, offset in uses:
-                _, _, length, errors = self.notices[k]
-                at = end + 1 - size - offset
-                lo, hi = max(0, at - errors), at + length + errors
-                own = spans.setdefault(k, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(own[-1][0], lo), max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
-        return [(k, lo, hi) for k, own in spans.items() for lo, hi in own]
+    def windows(self, text: str) -> set[tuple[int, int]]:
+        """(notice, place where it would begin) of every seed."""
+        return {(k, end + 1 - size - offset) for end, (size, uses) in self.seeds.iter(text) for k, offset in uses}
+
+    def matches(self, k: int, window: str) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of the notice in a window whose second character is the earliest place where it
+        can begin: from every word's begin there to every word's end that the errors leave possible."""
+        got = self.known.get((k, window))
+        if got is None:
+            pattern, _, length, errors = self.notices[k]
+            got = []
+            for s in range(1, min(len(window), 2 * errors + 2)):
+                if window[s - 1] != " " or window[s] == " ":
+                    continue
+                for t in range(max(s + 1, s + length - errors), min(len(window), s + length + errors + 1)):
+                    if window[t] == " " and (m := pattern.fullmatch(window, s, t)):
+                        got.append((s, t, sum(m.fuzzy_counts)))
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[k, window] = got
+        return got
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start character, end character, errors, likeness) of every notice."""
-        found = set()
-        if self.any:
-            for k, lo, hi in self.windows(text):
-                pattern, label, length, _ = self.notices[k]
-                for m in pattern.finditer(text, lo, min(hi, len(text))):
-                    e = sum(m.fuzzy_counts)
-                    found.add((e, m.start() - m.end(), m.start(), label, 1 - e / length))
+        found, padded = set(), f" {text} "
+        for k, at in self.windows(padded) if self.any else ():
+            _, label, length, errors = self.notices[k]
+            lo = at - errors - 1  # so that the blank before the earliest begin is seen, and that after the last end
+            window = padded[max(0, lo):at + length + 2 * errors + 1]
+            if lo < 0:
+                window = " " * -lo + window
+            for s, t, e in self.matches(k, window):
+                found.add((e, s - t, lo + s - 1, label, 1 - e / length))
         best: list = []  # where notices overlap, the one with the fewest errors stays, then the longest
         for e, size, start, label, like in sorted(found):
-            if all(start - size <= s or start >= t for _, s, t, *_ in best):
-                best.append((label, start, start - size, e, like))
-        return sorted(best, key=lambda x: x[1])
+            i = bisect_left(best, (start - size,))  # the spans that begin before this one's end
+            if not i or best[i - 1][1] <= start:
+                insort(best, (start, start - size, label, e, like))
+        return [(label, s, t, e, like) for s, t, label, e, like in best]
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None,
@@ -127,9 +144,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     their smallest and largest start (else null), ``base_labels`` and ``labels``
     (phrases, or phrases and notices) are distinct, sorted and comma-joined (empty
     if none). ``score`` is 1 with an exact phrase, else the likeness of the best
-    notice, else 0. ``spans`` are word positions, end exclusive. A null or empty
-    text has no words; null ids and repeated rows are kept; an empty table gives
-    an empty result; extra columns are ignored.
+    notice, else 0. ``spans`` are word positions, end exclusive; a notice begins and ends with
+    whole words of the text. A null or empty text has no words; null ids and repeated rows are
+    kept; an empty table gives an empty result; extra columns are ignored. A very long text is
+    scanned whole by its task, in time that grows with its seeds.
     """
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices
@@ -147,9 +165,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
                 base = scanner.base(norm)
                 own = sorted({label for _, label in base})
                 fuzzy = scanner.fuzzy(norm.decode("latin-1"))
-                spans = []
+                spans, w, last = [], 0, 0
                 for label, s, e, errors, _ in fuzzy:
-                    w = norm.count(b" ", 0, s)
+                    w, last = w + norm.count(b" ", last, s), s
                     spans.append({"label": label, "start": w, "end": w + len(norm[s:e].split()), "errors": errors})
                 row = (norm.count(b" ") + 1 if norm else 0, len(base), min((w for w, _ in base), default=None),
                        max((w for w, _ in base), default=None), ",".join(own),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -165,6 +166,64 @@ def test_license_scan_against_whole_text_search(spark, texts, odd_docs, no_docs)
     assert license_scan.scan(no_docs).count() == 0
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_notices_equal_brute_force():
+    """Every notice from every word to every word by edit distance: each place alike enough is met by a
+    span, and each span is as far from its notice as it says."""
+    notices = [("released under the mit license", "mit"), ("all rights reserved", "proprietary"), ("licensed under cc by 4 0", "cc-by")]
+    scanner = license_scan.Scanner({}, notices, 0.1)
+    rng = np.random.default_rng(6)
+    hits = 0
+    for _ in range(120):
+        words_ = []
+        for _ in range(int(rng.integers(1, 5))):
+            words_ += [["overall", "the", "reservedly", "mit", "by", "x"][k] for k in rng.integers(0, 6, int(rng.integers(0, 4)))]
+            c = list(notices[int(rng.integers(3))][0])
+            for _ in range(int(rng.integers(0, 4))):
+                i = int(rng.integers(len(c)))
+                c[i:i + int(rng.integers(2))] = ["", "q", " "][int(rng.integers(3))]
+            words_ += "".join(c).split()
+        text = " ".join(words_)
+        got = scanner.fuzzy(text)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words_)])
+        for label, s, e, errors, like in got:
+            notice = next(n for n, x in notices if x == label)
+            assert _edit_distance(text[s:e], notice) == errors and like == 1 - errors / len(notice)
+            assert (s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " ")
+        for notice, _ in notices:
+            most = int(len(notice) * 0.1)
+            for i in range(len(words_)):
+                for j in range(i + 1, len(words_) + 1):
+                    s, e = int(starts[i]), int(starts[j]) - 1
+                    if abs(e - s - len(notice)) <= most and _edit_distance(text[s:e], notice) <= most:
+                        hits += 1
+                        assert any(a < e and s < b for _, a, b, *_ in got), (text, text[s:e], got)
+    assert hits > 100
+
+
+def test_fuzzy_notices_one_after_the_other_and_in_linear_time():
+    s = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, 0.1)
+    text = "releasxd under the mit licence released under the mit license released under teh mit license"
+    assert [(text[a:b], e) for _, a, b, e, _ in s.fuzzy(text)] == [
+        ("releasxd under the mit licence", 2), ("released under the mit license", 0), ("released under teh mit license", 2)]
+    assert s.fuzzy("overall rights reservedly") == []
+    for seed in ("permission is ", "redistribution and ", "all rights reserved ", "mit license "):
+        begun = time.time()
+        long = (seed * 80_000)[:1_000_000]
+        s.fuzzy(long)
+        s.base(long.encode())
+        assert time.time() - begun < 10, seed
+
+
 def test_language_accuracy_on_held_out(spark, odd_docs, no_docs):
     out = queries.QUERIES["op4_language_id"](spark, SF_SMALL).join(
         spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()

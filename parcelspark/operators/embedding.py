@@ -13,14 +13,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..schemas import EMBEDDING_MODEL_NAME, HASH_BUCKETS
 
+#: Texts of a batch that a model gets, and numbers of a projected vector.
+EMBED_BATCH, PROJECTED = 256, 16
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 TOKEN_WORD = r"[^\W_]+"  # the same tokens, matched instead of split on
 
@@ -74,6 +79,56 @@ def hashed_embedding(text: Column, buckets: int = HASH_BUCKETS) -> Column:
     return _embedder(buckets)(text)
 
 
+# ---------------------------------------------------------------------------
+# The slot for a model that is loaded once per Python worker
+# ---------------------------------------------------------------------------
+
+def model_embedding(load: Callable[[], Callable[[np.ndarray], np.ndarray]], dimension: int,
+                    batch_size: int = EMBED_BATCH) -> Callable[[Column], Column]:
+    """An embedder ``text column -> array<double>`` from a model.
+
+    ``load`` runs once in each Python worker and returns the model: a function from an array of texts (at
+    most ``batch_size``; a null text is empty) to a matrix of ``dimension`` numbers a text. A model whose
+    output has another shape fails the job. Vectors are scaled to length one; zero vectors stay zero.
+    """
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.asarray(model(np.array([t if isinstance(t, str) else "" for t in texts.reshape(-1)], object)), np.float64)
+            if out.shape != (len(texts), dimension):
+                raise ValueError(f"the model gave shape {out.shape} for {len(texts)} texts, not {(len(texts), dimension)}")
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+        return predict
+
+    embed = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return lambda text: embed(F.coalesce(text, F.lit("")))
+
+
+def projection_model(dimension: int = PROJECTED, buckets: int = HASH_BUCKETS) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """The built-in model for the slot: bucket counts of a text's tokens times a matrix of signs, which is
+    made from md5 when the model is loaded."""
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        signs = np.array([[1.0 - 2.0 * (int(hashlib.md5(f"{b}:{j}".encode()).hexdigest()[:8], 16) % 2) for j in range(dimension)]
+                          for b in range(buckets)])
+        cache: dict[str, int] = {}
+
+        def model(texts: np.ndarray) -> np.ndarray:
+            counts = np.zeros((len(texts), buckets))
+            for row, text in enumerate(texts):
+                for tok in _WORD.findall(text.lower()):
+                    b = cache.get(tok)
+                    if b is None:
+                        if len(cache) >= 1 << 18:
+                            cache.clear()
+                        b = cache[tok] = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % buckets
+                    counts[row, b] += 1
+            return counts @ signs
+        return model
+    return load
+
+
 def l2_normalise(vec: Column) -> Column:
     """T8 for any vector column: divide by the L2 norm, zero stays zero."""
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))

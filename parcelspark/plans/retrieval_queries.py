@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from ..operators import sparse_search as S
 from ..operators.chunking import corpus_totals
-from ..operators.embedding import embed_table, hashed_embedding, sparse_weights
+from ..operators.embedding import PROJECTED, embed_table, hashed_embedding, model_embedding, projection_model, sparse_weights
 from ..operators.ingest import markdown_collection, page_collection
 from ..schemas import COLLECTION_ORDER, HASH_BUCKETS, SMOKE_QUESTION, TOP_K
 from ..session import materialize, scratch_path
@@ -65,6 +65,22 @@ def hashed_embeddings(spark, sf_dir):
     return sparse_weights(docs, "doc_id")
 
 
+@register("projected_embeddings", with_ctes(
+    *weights_ctes("d", "documents", "doc_id", "text")[:2],
+    f"""signs AS (SELECT b AS bucket, j, 1 - 2 * (('0x' || substr(md5(b || ':' || j), 1, 8))::BIGINT % 2) AS sign
+          FROM range({HASH_BUCKETS}) r(b), range({PROJECTED}) s(j))""",
+    "v AS (SELECT id, j, sum(cnt * sign) AS v FROM d_cnt JOIN signs USING (bucket) GROUP BY id, j)") + """
+SELECT v.id AS doc_id, CAST(j AS INTEGER) AS slot, round(v / norm, 6) + 0.0 AS weight
+FROM v JOIN (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY id) n ON n.id = v.id WHERE v <> 0
+""")
+def projected_embeddings(spark, sf_dir):
+    """Every document through the model slot (a model loaded once per worker, batches of texts), long form."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    embed = model_embedding(projection_model(), PROJECTED)
+    return (docs.select("doc_id", F.posexplode(embed(F.col("text"))).alias("slot", "weight")).where("weight <> 0")
+            .select("doc_id", F.col("slot").cast("int").alias("slot"), (F.round("weight", 6) + 0.0).alias("weight")))
+
+
 # --- R2: sparse retrieval, benchmark -> documents ----------------------------
 
 _SPARSE_SQL = with_ctes(

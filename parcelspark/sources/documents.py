@@ -93,8 +93,8 @@ def _escape(s: str) -> str:
 def read_binary_pages(spark: SparkSession, directory: str,
                       decode: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
     """S3 decoder slot: ``binaryFile`` scan, then ``decode(bytes) -> [page text]``
-    per file inside ``mapInPandas``; page numbers from 1, files sorted by name.
-    Raises if the directory holds no matching file."""
+    per file inside ``mapInPandas``; page numbers from 1. Rows are in no order: ``(source, page_number)``
+    is that of the files by name. Raises if the directory holds no matching file."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
              .select(F.element_at(F.split("path", "/"), -1).alias("source"), "content"))
 

@@ -47,6 +47,9 @@ def read_listings_csv(spark: SparkSession, path: str, required: list[str] = PROF
 
 def _typed(column: str, dtype: T.DataType):
     value = F.when(~F.col(f"`{column}`").isin(NA_STRINGS), F.col(f"`{column}`"))
-    if isinstance(dtype, T.IntegralType):     # a column with gaps is often written as 3.0
-        return value.try_cast("double").try_cast(dtype)
-    return value.try_cast(dtype)
+    if not isinstance(dtype, T.IntegralType):
+        return value.try_cast(dtype)
+    # A column with gaps is often written as 3.0; what is not whole, or beyond what a double holds exactly, is no such number.
+    number = value.try_cast("double")
+    whole = F.when((F.abs(number) <= 2.0 ** 53) & (F.floor(number) == number), number)
+    return F.coalesce(value.try_cast(dtype), whole.try_cast(dtype))

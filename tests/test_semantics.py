@@ -465,9 +465,9 @@ def test_csv_listings_contract(spark, tmp_path):
         read_listings_csv(spark, str(tmp_path / "absent.csv"))
     path = tmp_path / "li.csv"
     path.write_text('perch,bedrooms,bathrooms,district,year_built,price_lkr,note\n'
-                    '1.5,3.0,2,"a ""b"", c",2001,10,x\nNA,NaN,n/a,None,,-nan,NULL\n')
+                    '1.5,3.0,2,"a ""b"", c",2001,10,x\nNA,NaN,n/a,None,,-nan,NULL\n1,3.7,2e0,d,2001.0,1e3,y\n')
     got = [tuple(r) for r in read_listings_csv(spark, str(path)).collect()]
-    assert got == [(1.5, 3, 2, 'a "b", c', 2001, 10.0, "x"), (None,) * 7]
+    assert got == [(1.5, 3, 2, 'a "b", c', 2001, 10.0, "x"), (None,) * 7, (1.0, None, 2, "d", 2001, 1000.0, "y")]
     with pytest.raises(ValueError, match="has_garden"):
         read_listings_csv(spark, str(path), TRAINING_REQUIRED)
 

@@ -62,7 +62,7 @@ def ids_of(spec: str):
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int,
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` tokens of every document; its last piece is the shorter one."""
+    """Pieces of at most ``capacity`` tokens of every document: all but its first are of ``capacity``."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -73,8 +73,10 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int,
             for r, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 ids = np.append(ids_in(text) if text else [], end_id).astype("<u4")
-                for k, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s:s + capacity]
+                first = len(ids) % capacity or capacity
+                for k, e in enumerate(range(first, len(ids) + 1, capacity)):
+                    s = max(0, e - capacity)
+                    part = ids[s:e]
                     rows.append(r)
                     piece.append(k)
                     start.append(s)
@@ -163,7 +165,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2
     """Pack every document's tokens, ``end_id`` last, into sequences of ``capacity`` tokens.
 
     One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset``. Only documents of more than ``capacity`` tokens are cut. A null or
+    offset``. Only documents of more than ``capacity`` tokens are cut, so that the first
+    piece takes what the others, of ``capacity`` tokens each, leave. A null or
     empty text is the one token ``end_id``; null ids and repeated rows are packed
     like others; an empty table gives an empty result; extra columns are ignored.
     """

@@ -489,6 +489,17 @@ def test_counts_and_packing_on_odd_rows(spark, odd_docs, no_docs, library):
     assert packing.pack(no_docs, VOCABULARY).count() == 0 and token_counts.count_tokens(no_docs, VOCABULARY).count() == 0
 
 
+def test_only_the_first_piece_is_shorter(spark, library):
+    texts = {i: "and " * n for i, n in enumerate((10, 1022, 1023, 1024, 2500, 5119, 5120))} | {7: None, 8: ""}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), VOCABULARY).collect()
+    _check_packing(rows, texts, library)
+    for i, text in texts.items():
+        own = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == i)
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        first = n % 1024 or 1024
+        assert own == [(0, 0, first)] + [(k, first + (k - 1) * 1024, 1024) for k in range(1, (n + 1023) // 1024)]
+
+
 def test_packing_of_very_long_white_space(spark, library):
     texts = {0: "a" + " " * 1_500_000 + "b", 1: "\n" * 1_500_000, 2: "some words", 3: "x" + "\t " * 750_000 + "<|endoftext|>"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -51,3 +51,10 @@ def test_coded_search_of_fewer_vectors_than_asked_for(spark):
     docs, asked = vectors(spark, np.eye(3), "id"), vectors(spark, np.eye(3)[:2], "query_id")
     index = R.build_cells(docs, n_cells=2)
     assert R.coded_topk(index, asked, 5).count() == 6 and R.coded_topk(index, asked.limit(0), 5).count() == 0
+
+
+def test_blocks_of_a_large_table_are_larger():
+    """Queries are copied to every block: of 20 million vectors there are 611 blocks, not 4,883 of 4,096."""
+    assert [R._streamed_blocks(n) for n in (0, 1, 4096, 5000, 200_000)] == [1, 1, 1, 2, 49]
+    assert R._streamed_blocks(20_000_000) == 611
+    assert all(-(-n // R._streamed_blocks(n)) <= R.LARGE_BLOCK for n in (10**5, 10**6, 10**7, 10**9))

@@ -58,3 +58,28 @@ def test_blocks_of_a_large_table_are_larger():
     assert [R._streamed_blocks(n) for n in (0, 1, 4096, 5000, 200_000)] == [1, 1, 1, 2, 49]
     assert R._streamed_blocks(20_000_000) == 611
     assert all(-(-n // R._streamed_blocks(n)) <= R.LARGE_BLOCK for n in (10**5, 10**6, 10**7, 10**9))
+
+
+def test_candidates_of_single_precision_lose_nothing():
+    """Rows that lie closer together than single precision tells apart, and copies."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=256)
+    emb = np.concatenate([base + 1e-6 * rng.normal(size=(300, 256)), np.tile(base, (200, 1)), rng.normal(size=(1500, 256))])
+    emb /= np.sqrt((emb * emb).sum(1, keepdims=True))
+    ids, q = rng.permutation(len(emb)), np.concatenate([emb[:7], emb[300:302], emb[600:640]])
+    got = R._local_topk(ids, emb, np.arange(len(q)), q, 3)
+    micro = np.rint((1.0 - q @ emb.T) * 10 ** R.DIGITS)
+    for i in range(len(q)):
+        assert got[got.query_id == i].id.tolist() == ids[np.lexsort((ids, micro[i]))[:3]].tolist()
+
+
+def test_totals_of_one_collection_ingest_no_other(spark, monkeypatch):
+    from parcelspark.plans import QUERIES, retrieval_queries
+
+    def unwanted(*args, **kwargs):
+        raise AssertionError("the other collection is ingested")
+
+    monkeypatch.setattr(retrieval_queries, "input_version", lambda *args: "of-a-test")
+    monkeypatch.setattr(retrieval_queries, "markdown_collection", unwanted)
+    assert QUERIES["corpus_totals"](spark, "/root/testdata/sf0.001").first().total_chunks > 0
+    assert QUERIES["retrieve_preview"](spark, "/root/testdata/sf0.001").count() == 3

@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from parcelspark.operators import retrieval as R
 from parcelspark.operators import scoring as S
 from parcelspark.operators.embedding import bucket_counts, hashed_embedding, token_buckets
 from parcelspark.operators.split import seeded_split
-from parcelspark.schemas import PDF_SEPARATORS
+from parcelspark.schemas import MD_SEPARATORS, PDF_SEPARATORS
 from parcelspark.sources import store
 from parcelspark.sources.documents import read_markdown_tree
 
@@ -160,6 +161,25 @@ def test_markdown_split_drops_short_and_numbers_after_filter(spark):
     assert C.markdown_report(split).first().skipped >= 1
 
 
+def test_markdown_pieces_leave_in_batches_of_bounded_size(spark):
+    text = "## A\nshort\n\n" + "word " * 40_000
+    files = [(f"docs/{i}.md", text) for i in range(16)] + [("none.md", None), ("empty.md", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files)], ["path", "text"])
+    args = (MD_SEPARATORS, 300, 50, 30, C.token_length, C.token_length)
+    out = list(C.file_pieces(iter([batch, batch.slice(0, 0), batch.slice(15)]), *args))
+    assert [p for b in out for p in b.column("path").to_pylist()] == [p for p, _ in files + files[15:]]
+    sizes = [sum(len(p) for row in b.column("kept").to_pylist() for p in row) for b in out]
+    assert max(sizes) <= C.SPLIT_BATCH_CHARS + 1.5 * len(text) < sum(sizes)
+    chunks = C.chunk_markdown(C.split_markdown_files(spark.createDataFrame(files, "path string, text string")))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # one Python worker a task
+    by_udf = C.chunk_markdown(C.split_markdown_files(spark.createDataFrame(files[:1], "path string, text string"), measure=None),
+                              C.token_length, window=299)
+    assert sorted(map(tuple, by_udf.collect())) == sorted(
+        tuple(r) for r in C.chunk_markdown(C.split_markdown_files(spark.createDataFrame(files[:1], "path string, text string")),
+                                           window=299).collect())
+
+
 def test_markdown_tree_scan(spark):
     root = tempfile.mkdtemp(prefix="md-")
     os.makedirs(f"{root}/nested")

@@ -16,6 +16,7 @@ from parcelspark.operators import profile as P
 from parcelspark.operators import questions as Q
 from parcelspark.operators import retrieval as R
 from parcelspark.operators import scoring as S
+from parcelspark.functions.text import strip_ws, trim_ws
 from parcelspark.operators.embedding import bucket_counts, hashed_embedding, token_buckets
 from parcelspark.operators.split import seeded_split
 from parcelspark.schemas import MD_SEPARATORS, PDF_SEPARATORS
@@ -24,6 +25,28 @@ from parcelspark.sources.documents import read_markdown_tree
 
 from .conftest import SF_SMALL
 
+def test_questions_are_searched_once_and_numbers_cast_where_there_are_digits(spark):
+    ws = "\t\n\x0b\f\r \x1c\x1f\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    rows = [(1, None), (2, ""), (3, ws), (4, "in \x1c\xa0\u2003Galle\u3000\xa0, 5 perches how much?"), (5, "in \u3000\u2003, why"),
+            (6, "How much is a 1,200.5 sqft 3 bed 2 bath house in Kandy that is 7 years old?"),
+            (7, "99999999999 beds, 1,,2 sq ft worth"), (8, ".")]
+    df = Q.extract_request(spark.createDataFrame(rows, "question_id long, question string"))
+    got = {r.question_id: tuple(r)[2:] for r in df.collect()}
+    none = ("none", None, None, None, None, None, None)
+    assert got[1] == got[2] == got[3] == (*none, "blank") and got[8] == (*none, "ready")
+    assert got[4] == ("predict", 1360.0, None, None, "Galle", None, "bedrooms,bathrooms,age_years", "needs_fields")
+    assert got[5] == ("retrieve", None, None, None, "", None, None, "ready")
+    assert got[6] == ("predict", 1200.5, 3, 2, "Kandy", 7, "", "ready")
+    assert got[7] == ("predict", 12.0, None, None, None, None, "bedrooms,bathrooms,location,age_years", "needs_fields")
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ends = spark.createDataFrame([(c + "x" + c,) for c in every], "s string")
+    assert ends.where(trim_ws(F.col("s")) != strip_ws(F.col("s"))).count() == 0
+    assert ends.where(Q.is_blank(F.substring("s", 1, 1)) != (strip_ws(F.substring("s", 1, 1)) == "")).count() == 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (Q.PRICE_CUE_PATTERN, Q.AREA_PATTERN, Q.BEDROOM_PATTERN, Q.AGE_PATTERN):
+        assert plan.count(pattern) == 1
+
+
 # --- profiling ---------------------------------------------------------------
 
 

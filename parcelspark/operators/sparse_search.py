@@ -5,10 +5,10 @@ texts into shards by a hash of the id; a shard holds, per bucket, a posting list
 weight) by falling weight, cut into parts that each know their greatest weight, and the texts'
 own terms. A list of a bucket that every text has is so cut by shard and by part.
 
-A query adds up list parts in the order of what they can add at most. What the lists can
-still add to any text is known at every step; once the k-th best sum so far exceeds it, no
-text outside those sums can be a hit, and only texts that can still reach the k-th best are
-scored in full from their own terms. Results are exact.
+A query adds up list parts in the order of what they can add at most, twice as many at each
+step. What the lists can still add to any text is known at every step; once the k-th best sum so far exceeds it, no
+text outside those sums can be a hit. Texts that can still reach the k-th best are then scored
+in full from their own terms, as soon as these are fewer than the postings left. Results are exact.
 
 Queries are copied to every shard; the index is moved once, whatever the number of queries: a task
 reads a shard and lets the queries stream past it.
@@ -30,6 +30,8 @@ from .embedding import _WORD
 
 #: Texts of a shard, on average, and postings of a list part.
 SHARD, PART = 1 << 14, 256
+#: Parts of lists that the first step of a query reads.
+STEP = 1
 DIGITS = 6
 _MARGIN = 4e-6  # more than one rounding step plus float error
 TERMS = "array<struct<bucket:int,weight:float>>"
@@ -80,11 +82,12 @@ def _index_schema(id_type: str) -> str:
     return f"shard int, bucket int, part int, greatest float, n int, docs binary, weights binary, terms binary, ids array<{id_type}>"
 
 
-def build_index(docs: DataFrame, path: str, shard: int = SHARD, part: int = PART) -> Index:
+def build_index(docs: DataFrame, path: str, shard: int = SHARD, part: int = PART, n_docs: int | None = None) -> Index:
     """Write the index of ``(id, terms)`` rows (ids are unique) at ``path``; a row per list part, and per
-    shard one row with its ids, in order, and their terms."""
+    shard one row with its ids, in order, and their terms. ``n_docs`` is the number of rows, if it is
+    known: counting them runs what they come from."""
     id_type = docs.schema["id"].dataType.simpleString()
-    shards = max(1, -(-docs.count() // shard))
+    shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard))
     schema = _index_schema(id_type)
 
     def build(table: pa.Table) -> pa.Table:
@@ -120,14 +123,16 @@ def open_index(spark, path: str, shards: int, id_type: str) -> Index:
 
 @dataclass
 class Shard:
-    """One shard in a task's memory: list parts (greatest weight, texts, weights) by bucket, and the texts' terms."""
+    """One shard in a task's memory: by bucket its list (texts, weights) with the start and greatest weight
+    of each part, and the texts' terms."""
 
     n: int = 0
     first: np.ndarray | None = None
     slot: np.ndarray | None = None
     weight: np.ndarray | None = None
     ids: list = field(default_factory=list)
-    lists: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    parts: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def add(self, row: dict) -> None:
         docs, weights = row["docs"], np.frombuffer(row["weights"], "<f4").astype(np.float64)
@@ -135,7 +140,15 @@ class Shard:
             self.n, self.ids = row["n"], row["ids"]
             self.first, self.slot, self.weight = np.frombuffer(docs, "<i8"), np.frombuffer(row["terms"], "<i4"), weights
         else:  # parts arrive in order
-            self.lists.setdefault(row["bucket"], []).append((row["greatest"], np.frombuffer(docs, "<i4"), weights))
+            self.parts.setdefault(row["bucket"], []).append((row["greatest"], np.frombuffer(docs, "<i4"), weights))
+
+    def list_of(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(texts, weights, bounds of the parts, their greatest weights) of a bucket, joined when first asked for."""
+        if bucket in self.parts:
+            greatest, docs, weights = zip(*self.parts.pop(bucket), strict=True)
+            bounds = np.cumsum([0, *map(len, docs)])
+            self.lists[bucket] = np.concatenate(docs), np.concatenate(weights), bounds, np.array(greatest, np.float64)
+        return self.lists.get(bucket)
 
     def scores(self, docs: np.ndarray, query: dict[int, float]) -> np.ndarray:
         """Full products of some texts with the query, from their own terms."""
@@ -149,23 +162,37 @@ class Shard:
 
     def search(self, query: dict[int, float], k: int, pad: bool) -> tuple[np.ndarray, np.ndarray, int]:
         """(texts, distances, postings read) of the ``k`` nearest by (rounded distance, id)."""
-        parts = sorted((-w * p[0], b, j) for b, w in query.items() for j, p in enumerate(self.lists.get(b, ())))
-        left = {b: w * self.lists[b][0][0] for b, w in query.items() if b in self.lists}
-        rest, asked, total, read = sum(left.values()), np.inf, np.zeros(self.n), 0
-        candidates = None
-        for _, b, j in parts:
-            _, docs, weights = self.lists[b][j]
-            total[docs] += query[b] * weights
+        found = [(w, held) for b, w in query.items() if (held := self.list_of(b))]
+        # Parts of all lists (list, part, the most that it can add) in the order of that.
+        of = np.repeat(np.arange(len(found)), [len(held[3]) for _, held in found])
+        part = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(held[3])) for _, held in found)])
+        most = np.concatenate([np.zeros(0), *(w * held[3] for w, held in found)])
+        order = np.lexsort((part, of, -most))
+        of, part, most = of[order], part[order], most[order]
+        size = sum(len(held[0]) for _, held in found)
+        rest, asked, total, read = np.inf, np.inf, np.zeros(self.n), 0
+        candidates, done, step = None, 0, STEP
+        while done < len(of):
+            docs, gains = [], []
+            for i, j in zip(of[done:done + step].tolist(), part[done:done + step].tolist(), strict=True):
+                w, (texts, weights, bounds, _) = found[i]
+                docs.append(texts[bounds[j]:bounds[j + 1]])
+                gains.append(w * weights[bounds[j]:bounds[j + 1]])
+            docs = np.concatenate(docs)
+            total += np.bincount(docs, np.concatenate(gains), minlength=self.n)
             read += len(docs)
-            following = query[b] * self.lists[b][j + 1][0] if j + 1 < len(self.lists[b]) else 0.0
-            rest += following - left[b]
-            left[b] = following
+            done, step = done + step, 2 * step
+            left = np.zeros(len(found))
+            left[of[done:][::-1]] = most[done:][::-1]  # of each list the first part that was not read
+            rest = left.sum()
             if self.n > k and rest < 0.9 * asked:  # the k-th best sum is looked up as the rest shrinks
                 asked = rest
                 kth = np.partition(total, self.n - k)[self.n - k]
                 if kth - _MARGIN > rest:
-                    candidates = np.flatnonzero(total + rest >= kth - _MARGIN)
-                    break
+                    able = np.flatnonzero(total + rest >= kth - _MARGIN)
+                    if len(able) * len(self.slot) < self.n * (size - read):  # fewer terms than postings left to read
+                        candidates = able
+                        break
         if candidates is None:
             candidates = np.flatnonzero(total > 0)
             score = total[candidates]

@@ -93,3 +93,39 @@ def test_string_ids_empty_index_and_plan(spark, tmp_path):
     assert "array<float>" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     empty = S.build_index(terms.limit(0), str(tmp_path / "e"))
     assert S.sparse_topk(empty, asked, 2, pad=True).count() == 0
+
+
+def test_scoring_in_full_costs_less_than_reading_on(spark, tmp_path, monkeypatch):
+    """Where most texts can still reach the k-th best, lists are read on instead of scoring them all."""
+    rng = np.random.default_rng(6)
+    docs = {}
+    for i in range(2000):
+        w = 1 + 0.05 * rng.random(40)
+        docs[i] = {int(b): float(x) for b, x in zip(rng.choice(60, 40, replace=False), w / np.sqrt((w * w).sum()))}
+    docs[2000] = {b: float(40 ** -0.5) for b in range(40)}
+    index = S.build_index(frame(spark, docs), str(tmp_path / "index"), shard=10_000, part=64)
+    shard = S.Shard()
+    for r in index.table.orderBy("bucket", "part").collect():
+        shard.add(r.asDict())
+    scored = []
+    scores = S.Shard.scores
+    monkeypatch.setattr(S.Shard, "scores", lambda self, ids, query: scored.append(len(ids)) or scores(self, ids, query))
+    query = {b: float(40 ** -0.5) for b in range(40)}
+    found, distance, read = shard.search(query, 1, False)
+    assert [(round(float(d), 6), shard.ids[i]) for i, d in zip(found, distance)] == plain(docs, query, 1, False) == [(0.0, 2000)]
+    postings = sum(len(t.keys() & query.keys()) for t in docs.values())
+    assert read + sum(scored) * 40 <= 1.05 * postings
+
+
+def test_index_reads_its_texts_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "doc_id long, text string")
+    terms = S.sparse_terms(texts.mapInArrow(count, texts.schema), "doc_id", "text")
+    index = S.build_index(terms, str(tmp_path / "index"), shard=20, n_docs=texts.count())
+    assert index.shards == 3 and index.table.where("bucket = -1").agg({"n": "sum"}).first()[0] == 50 and seen.value == 50

@@ -439,6 +439,12 @@ def test_recall_of_edited_passages(spark):
         assert sum(r.src_end_word - r.src_start_word for r in have) >= 0.75 * n * len(have)
 
 
+def test_equal_texts_are_one_passage(spark):
+    p, q = _own_words("p", 70), _own_words("q", 60)
+    got = _spans_of(spark, {0: p, 1: q + p, 2: q + p, 3: q + p, 4: q[:40], 5: q[:40]})
+    assert got == {(1, 0, 60, 130, 0, 70), (2, 1, 0, 130, 0, 130), (3, 1, 0, 130, 0, 130)}
+
+
 def test_contamination_on_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i} x{i * 7 % 97}" for i in range(10, 20))), (2, "ONE!"), (3, None), (4, "..."),
                                    (5, "one"), (None, "null id text"), (6, "absent words here")], "item_id long, text string")

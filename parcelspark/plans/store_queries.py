@@ -36,6 +36,12 @@ def _batches(spark, sf_dir):
             page_collection(pages_of(second), chunker="fixed"))
 
 
+def _first_row(rows):
+    """The row of the least id (a null one comes first). Ids alone are read to find it, then the part of a file that has it."""
+    least = rows.agg(F.min(F.struct("id")).alias("r")).first()["r"]
+    return rows.where(F.col("id").eqNullSafe(least["id"] if least else None)).limit(1)
+
+
 def _store_root(spark):
     return scratch_path(spark, f"store-{uuid.uuid4().hex}")
 
@@ -128,7 +134,7 @@ def upsert_small_batches(spark, sf_dir):
     root, name = _store_root(spark), "housing_docs"
     first, _ = _batches(spark, sf_dir)
     store.upsert(spark, root, name, first, HASH_BUCKETS)
-    one = materialize(store.read_collection(spark, root, name).orderBy("id").limit(1), "one-chunk")
+    one = materialize(_first_row(store.read_collection(spark, root, name)), "one-chunk")
     for n in range(store.MAX_LAYERS + 1):
         text = F.concat("text", F.lit(REVISION if n == store.MAX_LAYERS else f" [draft {n}]"))
         store.upsert(spark, root, name, one.withColumn("text", text), HASH_BUCKETS)

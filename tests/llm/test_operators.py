@@ -510,3 +510,23 @@ def test_packing_of_very_long_white_space(spark, library):
     texts = {0: "a" + " " * 1_500_000 + "b", 1: "\n" * 1_500_000, 2: "some words", 3: "x" + "\t " * 750_000 + "<|endoftext|>"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     _check_packing(packing.pack(df, VOCABULARY).collect(), texts, library)
+
+
+def test_passages_of_a_repetitive_pair_lie_in_no_other(spark):
+    base = ("alpha beta gamma delta epsilon zeta eta theta iota " * 20).split()
+    other = [*base[:88], "changed", *base[89:]]
+    rows = substring_dedup.passages(spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")).collect()
+    spans = [(r.start_word, r.end_word, r.src_start_word, r.src_end_word) for r in rows]
+    assert {k for p in spans for k in range(p[0], p[1])} == set(range(180))
+    for p in spans:
+        assert sum(k[0] <= p[0] and p[1] <= k[1] and k[2] <= p[2] and p[3] <= k[3] for k in spans) == 1  # itself
+
+
+def test_windows_that_share_words_in_both_texts_go_together():
+    found = substring_dedup.together([(0, 10, 0, 10), (5, 20, 8, 12), (15, 30, 50, 60), (40, 50, 0, 10), (19, 25, 11, 14)])
+    assert sorted(found) == [[0, 1, 4], [2], [3]]
+
+
+def test_outermost_passages():
+    found = [(14, 77, 9, 72, 63, 1.0), (0, 281, 0, 281, 275, 0.97), (0, 281, 0, 281, 281, 1.0), (0, 100, 200, 300, 90, 0.9)]
+    assert set(substring_dedup.outermost(found)) == {found[2], found[3]}

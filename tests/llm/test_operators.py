@@ -439,6 +439,32 @@ def test_recall_of_edited_passages(spark):
         assert sum(r.src_end_word - r.src_start_word for r in have) >= 0.75 * n * len(have)
 
 
+def test_edited_passages_whose_pieces_were_elsewhere_first(spark):
+    rng = np.random.default_rng(11)
+
+    def some(n):
+        return [f"v{k}" for k in rng.integers(3000, size=n)]
+    pieces, holders, pairs = [], [], set()
+    for n in range(20):
+        p = some(60)
+        q = ["new" if k % 10 == 9 else x for k, x in enumerate(p)]
+        pieces += [some(40) + p[k:k + 14] + some(40) for k in range(0, 60, 10)]
+        holders += [(1000 + n, some(80) + p + some(80)), (2000 + n, some(50) + q + some(90))]
+        pairs.add((2000 + n, 1000 + n))
+    rows = [*enumerate(pieces), *holders]
+    got = [(r.doc_id, r.src_doc_id) for r in substring_dedup.passages(spark.createDataFrame(
+        [(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) <= pairs and len(got) >= 0.9 * len(pairs)
+
+
+def test_passages_of_other_sources_lie_in_no_other():
+    found, inner = (0, 60, 5, 0, 60, 60, 1.0), (10, 60, 7, 10, 60, 50, 1.0)
+    wide = (100, 180, 9, 0, 80, 70, 0.875)
+    assert substring_dedup.with_others([found], [inner]) == [found]
+    assert substring_dedup.with_others([found, (110, 170, 9, 10, 70, 60, 1.0)], [wide, (100, 180, 12, 0, 80, 70, 0.875), (100, 170, 8, 0, 70, 60, 1.0)]) == [found, wide]
+    assert substring_dedup.with_others([], [inner]) == [inner]
+
+
 def test_equal_texts_are_one_passage(spark):
     p, q = _own_words("p", 70), _own_words("q", 60)
     got = _spans_of(spark, {0: p, 1: q + p, 2: q + p, 3: q + p, 4: q[:40], 5: q[:40]})

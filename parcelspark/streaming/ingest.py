@@ -41,14 +41,10 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, to_chunks: Callable[[D
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         own = batch.sparkSession
-        batch.persist()   # chunked and embedded once for the check and the write
-        try:
-            if not batch.isEmpty():
-                offsets = own.read.text(f"{checkpoint}/offsets/{epoch_id}", wholetext=True).first()["value"]
-                upsert(own, root, name, batch, dimension, order_by=order_by,
-                       stream=_stream_of(own, checkpoint), epoch=epoch_id, offsets=offsets)
-        finally:
-            batch.unpersist()
+        if not batch.isEmpty():  # by a first row; kept rows would fill the executors' memory
+            offsets = own.read.text(f"{checkpoint}/offsets/{epoch_id}", wholetext=True).first()["value"]
+            upsert(own, root, name, batch, dimension, order_by=order_by,
+                   stream=_stream_of(own, checkpoint), epoch=epoch_id, offsets=offsets)
 
     writer = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -83,3 +83,28 @@ def test_totals_of_one_collection_ingest_no_other(spark, monkeypatch):
     monkeypatch.setattr(retrieval_queries, "markdown_collection", unwanted)
     assert QUERIES["corpus_totals"](spark, "/root/testdata/sf0.001").first().total_chunks > 0
     assert QUERIES["retrieve_preview"](spark, "/root/testdata/sf0.001").count() == 3
+
+
+def test_single_precision_vectors_are_kept_as_they_are():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 8)).astype(np.float32)
+    x[1] = 0
+    x[2:1000] = x[2:1000] / np.linalg.norm(x[2:1000].astype(np.float64), axis=1, keepdims=True)
+    column = pa.array(x.tolist(), pa.list_(pa.float32()))
+    raw, norm = R._raw_vectors(column)
+    assert raw.dtype == np.float32 and (raw == x).all() and norm[1] == 1.0 and (norm[2:1000] == 1.0).all()
+    unit, ids, q = R._vectors(column), np.arange(3000), R._vectors(column)[:20]
+    want, got = (R._block_topk(R._Block.of(ids, *v), ids[:20], q, 3) for v in ((unit, np.ones(3000)), (raw, norm)))
+    assert want.equals(got)
+
+
+def test_split_udf_hands_on_bounded_batches(spark, monkeypatch):
+    from parcelspark.operators import chunking as C
+    texts = ["a b c. " * 40, None, "", "x" * 30, "w " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    from pyspark.util import PythonEvalType
+    monkeypatch.setattr(C, "SPLIT_BATCH_CHARS", 50)
+    assert C.recursive_splitter(["\n"], 20, 5).evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF  # no batch of Python strings
+    got = {r.i: r.p for r in df.select("i", C.recursive_splitter(["\n", " ", ""], 20, 5)("t").alias("p")).collect()}
+    assert got == {i: C.split_recursive(t or "", ["\n", " ", ""], 20, 5) for i, t in enumerate(texts)}
